@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, read_back
 from .common import work_dir
 from .decontam import find_overlaps
+from .jaccard import similarity_components
 from .langid import identify, learn_profiles
 from .linededup import dedup_documents
 from .quality_rules import apply_quality_rules
@@ -69,6 +70,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{work_dir(spark)}/archives"
     write_archives(table(spark, sf_dir, "pages"), path)
@@ -78,7 +83,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_rules, op2_secret_scan, op3_chat_formatting, op4_language_id, op5_line_dedup, op6_sentencepiece,
-        op7_decontamination, op8_sharding, op10_warc,
+        op7_decontamination, op8_sharding, op9_ngram_jaccard, op10_warc,
     )
     return {f.__name__: f for f in every}
 
