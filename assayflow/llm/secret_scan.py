@@ -27,8 +27,9 @@ ASSIGN = (
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"
     "[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
-ACCESS = "AKIA[A-Z0-9]+"
-HEX = "[0-9a-f]+"
+# Runs are matched whole, so a least length in the pattern drops the same matches as a later test.
+ACCESS = "AKIA[A-Z0-9]{14,}"
+HEX = "[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
@@ -126,12 +127,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.when(test, spans).otherwise(none)
 
     assign = where(
-        t.rlike(ASSIGN),
+        (t.contains(":") | t.contains("=")) & t.rlike(ASSIGN),
         F.filter(found(t, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 2)) >= 12),
     )
-    access = where(t.contains("AKIA"), F.filter(found(t, ACCESS, 1), lambda x: x["end"] - x["start"] >= 18))
-    hexes = where(t.rlike("[0-9a-f]{16}"), F.filter(found(t, HEX, 2), lambda x: x["end"] - x["start"] >= 16))
-    entropy = where(t.rlike(CANDIDATE), F.filter(found(t, CANDIDATE, 3), lambda x: high_entropy(x["s"])))
+    access = where(t.contains("AKIA"), found(t, ACCESS, 1))
+    hexes = where(t.rlike("[0-9a-f]{16}"), found(t, HEX, 2))
+    # A secret of this kind has a digit; few texts do.
+    entropy = where(t.rlike("[0-9]") & t.rlike(CANDIDATE), F.filter(found(t, CANDIDATE, 3), lambda x: high_entropy(x["s"])))
     base = src.select("doc_id", F.concat(assign, access, hexes).alias("base"), entropy.alias("more"))
     new = F.filter(
         "more", lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
