@@ -34,14 +34,14 @@ def not_done(papers: DataFrame, outputs: DataFrame) -> DataFrame:
 def full_texts(spark: SparkSession, root: str) -> DataFrame:
     """paper_name, text of each full.md (O-S3); join papers to it from the left, so one without the
     file has null text and is not skipped."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "full.md").text(root)
+    files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "full.md").load(root)
     return files.select(_paper(F.col("_metadata.file_path")).alias("paper_name"), F.col("value").alias("text"))
 
 
 def content_blocks(spark: SparkSession, root: str) -> DataFrame:
     """paper_name, block_id and the block's fields, from lists or {"content": lists} (O-S4)."""
     files = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_content_list.json").text(root)
+        spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_content_list.json").load(root)
     )
     rows = files.select(_paper(F.col("_metadata.file_path")).alias("paper_name"), F.col("value"))
     return blocks_from_json(rows, "value")
@@ -85,7 +85,7 @@ def doi_from_name(name: Column) -> Column:
 
 
 def metadata(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").text(root)
+    files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").load(root)
     return files.select(_paper(F.col("_metadata.file_path")).alias("paper_name"), F.get_json_object("value", "$.doi").alias("meta_doi"))
 
 
@@ -109,7 +109,7 @@ def gold_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def result_files(spark: SparkSession, path: str) -> DataFrame:
     """paper_name, rec_idx, record (JSON text) of {paper: [records]} files (O-S7)."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
     papers = files.select(F.explode(F.from_json("value", "map<string,string>")).alias("paper_name", "j"))
     return papers.select("paper_name", F.posexplode(F.from_json("j", "array<string>")).alias("rec_idx", "record"))
 

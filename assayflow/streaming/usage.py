@@ -24,7 +24,7 @@ def usage_windows(events: DataFrame, time: str = "ts", width: str = "1 hour", la
 
 
 def stream_usage(spark: SparkSession, path: str, out: str, checkpoint: str, **options) -> StreamingQuery:
-    """Closed windows appended as Parquet; ends when all files there are are read."""
+    """Closed windows of a folder of Parquet files, appended as Parquet; ends when all files are read."""
     schema = spark.read.parquet(path).schema
     rows = usage_windows(spark.readStream.schema(schema).parquet(path), **options)
     return rows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
@@ -32,7 +32,7 @@ def stream_usage(spark: SparkSession, path: str, out: str, checkpoint: str, **op
 
 def stream_papers(spark: SparkSession, root: str, checkpoint: str, sink: Callable[[DataFrame, int], None], **rules) -> StreamingQuery:
     """Pre-check of papers as their full.md arrives; a paper is read once, also after a restart."""
-    files = spark.readStream.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "full.md").text(root)
+    files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "full.md").load(root)
     papers = files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("paper_name"), F.col("value").alias("text"))
     return (
         precheck(papers, **rules).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

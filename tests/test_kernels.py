@@ -279,7 +279,8 @@ def test_scores(spark):
 def test_streaming_windows(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     batch = usage.usage_windows(events).select(F.sum("n")).first()[0]
-    q = usage.stream_usage(spark, f"{sf}/events.parquet", str(tmp_path / "out"), str(tmp_path / "cp"), late="0 seconds")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    q = usage.stream_usage(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), late="0 seconds")
     q.awaitTermination(180)
     closed = spark.read.parquet(str(tmp_path / "out")).select(F.sum("n")).first()[0]
     assert 0.9 * batch <= closed <= batch
