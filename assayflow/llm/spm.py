@@ -34,7 +34,7 @@ from .common import arrow_rows, keyed, ship
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words whose ids are remembered, at most.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 # Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -113,6 +113,8 @@ class _Known(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if word == SPACE:
             ids = tuple(self.tables.bytes_ids(SPACE))
+        elif len(word) <= 64:
+            ids = best_path(self.tables, word.replace(" ", SPACE))
         else:
             search = Viterbi(self.tables)
             ids = (*search.feed(word.replace(" ", SPACE)), *search.end())
@@ -123,6 +125,39 @@ class _Known(dict):
         return ids
 
 
+def best_path(tables: Tables, text: str) -> tuple[int, ...]:
+    """The search over a text that is held whole: the same steps as Viterbi's, without commits."""
+    n, longest, trie, none = len(text), tables.longest, tables.trie, float("-inf")
+    best, start, piece = [none] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    best[0] = 0.0
+    for at in range(n):
+        here = best[at]
+        if here == none:
+            continue
+        node, single, end = trie, False, at
+        for ch in text[at : at + longest]:
+            node = node.get(ch)
+            if node is None:
+                break
+            end += 1
+            found = node.get("")
+            if found is not None:
+                single = single or end == at + 1
+                score = here + found[1]
+                if score > best[end]:
+                    best[end], start[end], piece[end] = score, at, found[0]
+        if not single:
+            score = here + tables.unknown_score
+            if score > best[at + 1]:
+                best[at + 1], start[at + 1], piece[at + 1] = score, at, tables.unknown
+    path, at = [], n
+    while at:
+        i, before = piece[at], start[at]
+        path.append(tables.bytes_ids(text[before]) if i == tables.unknown else (i,))
+        at = before
+    return tuple(chain.from_iterable(reversed(path)))
+
+
 class Viterbi:
     """feed() characters (spaces already marked), then end(); both give ids that are certain."""
 
