@@ -5,8 +5,9 @@ one class; classes link when their Jaccard similarity reaches the threshold. The
 
 1. puts tokens into one order, frequent ones last, and keeps of every class the prefix that any
    linked class must share a token with (frequencies only choose the order, never drop a token);
-2. puts similar classes into groups: each class is compared with the one that most often is the
-   centre of its tokens, and verified links form the first groups, in blocks of BLOCK members;
+2. puts similar classes into groups, in ROUNDS rounds: each class is compared with the one of another
+   group that most often is the centre of its tokens; verified links form groups, dealt into blocks of
+   about BLOCK members;
 3. stores the matrix of tokens and blocks (a block's tokens are the union of its members'), looks up
    the prefix of every class of another group in it, and for the blocks it meets bounds the possible
    overlap by that of the class with the block's whole union; only blocks that reach the needed
@@ -34,42 +35,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, keyed, remove, rows_of, ship, stored, work_dir
+from .common import free_shuffles, keyed, remove, ship, stored, work_dir
 from .components import connected_components
+from .shingles import token_sets
 
 WORDS = 5
 PERCENT = 80
-HEAVY = 1 << 16
+HEAVY = 1 << 18
+ROUNDS = 3
 BLOCK = 64
 BROADCAST_IDS = 2_000_000
-REMEMBERED = 500_000
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
-
-
-_HASHES = _WordHashes()
-
-
-def tokens_of(text: str | None, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct token hashes of a text."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(words)
-    if not n:
-        return np.empty(0, np.int64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
-    size = min(n, k)
-    x = np.full(n - size + 1, size, np.uint64)
-    for i in range(size):
-        x = (x ^ (h[i : n - size + 1 + i] * (_MIX[i % 5] + np.uint64(2 * (i // 5))))) * _MIX[0]
-        x ^= x >> np.uint64(29)
-    return np.unique(x.view(np.int64))
 
 
 def class_of(tokens: np.ndarray) -> int | None:
@@ -104,8 +79,8 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def heavy_tokens(docs: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
     """The `most` most frequent tokens, sorted, and their places by frequency. Counts are over all
-    documents, less those of a token that a task sees once or twice only."""
-    chunk = 2_000_000
+    documents, less those of a token that a task's chunk holds once."""
+    chunk = 6_000_000
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,30 +89,27 @@ def heavy_tokens(docs: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndarray
 
         def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts > 2
+            often = counts > 1
             held.clear()
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often])], ["t", "n"])
 
         size = 0
         for batch in batches:
-            for (texts,) in rows_of(batch):
-                for text in texts:
-                    tokens = tokens_of(text, k)
-                    c = class_of(tokens)
-                    if c is not None and c not in seen:
-                        seen.add(c)
-                        held.append(tokens)
-                        size += len(tokens)
-                        if size >= chunk:
-                            yield flush()
-                            size = 0
+            for tokens in token_sets(batch.column(0), k):
+                c = class_of(tokens)
+                if c is not None and c not in seen:
+                    seen.add(c)
+                    held.append(tokens)
+                    size += len(tokens)
+                    if size >= chunk:
+                        yield flush()
+                        size = 0
         if held:
             yield flush()
 
     counts = docs.select("text").mapInArrow(run, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "t").limit(most).collect()
-    t = np.array([r["t"] for r in rows], np.int64)
+    t = counts.orderBy(F.desc("n"), "t").limit(most).select("t").toArrow().column(0).to_numpy()
     order = np.argsort(t)
     return t[order], (len(t) - 1 - np.arange(len(t)))[order]
 
@@ -154,7 +126,7 @@ def class_prefixes(docs: DataFrame, heavy: np.ndarray, rank: np.ndarray, k: int,
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                sets = [tokens_of(t, k) for t in part.column(1).to_pylist()]
+                sets = list(token_sets(part.column(1), k))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -169,7 +141,8 @@ def class_prefixes(docs: DataFrame, heavy: np.ndarray, rank: np.ndarray, k: int,
 
 
 def class_tokens(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """c, n, tokens of the chosen classes (id, cls: a document of each), read from the texts again."""
+    """c, n, tokens of the chosen classes (id: a document of each), read from the texts again. Rows that
+    share an id are all read, so a class may come twice or unasked for."""
     spark = docs.sparkSession
     ids = chosen.select(F.col("id").alias("i")).distinct()
     if chosen.count() <= BROADCAST_IDS:
@@ -180,13 +153,13 @@ def class_tokens(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                sets = [s for s in (tokens_of(t, k) for t in batch.column(0).slice(start, 512).to_pylist()) if len(s)]
+                sets = [s for s in token_sets(batch.column(0).slice(start, 512), k) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(sets)],
                     ["c", "n", "tokens"],
                 )
 
-    return some.select("text").mapInArrow(run, "c bigint, n bigint, tokens array<bigint>").dropDuplicates(["c"])
+    return some.select("text").mapInArrow(run, "c bigint, n bigint, tokens array<bigint>")
 
 
 def shared_prefixes(rows: DataFrame) -> DataFrame:
@@ -214,41 +187,65 @@ def fits(n1: Column, n2: Column, percent: int) -> Column:
     return (100 * F.least(n1, n2)) >= percent * F.greatest(n1, n2)
 
 
-def star_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """For each class the centre (a class that the token's hash chooses among those of like size)
-    that it shares most tokens with."""
+def least_shared(n1: Column, n2: Column, percent: int) -> Column:
+    """Prefix tokens that linked sets of these sizes share at least. Up to the lesser of the two
+    prefixes' ends in the common order, both prefixes hold every token. The set whose prefix ends there
+    has need - 1 tokens beyond it, so the overlap is at most the shared prefix tokens and those."""
+    overlap = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
+    return F.greatest(F.lit(1), overlap - F.ceil(F.greatest(n1, n2) * percent / F.lit(100)) + 1)
+
+
+def star_pairs(rows: DataFrame, percent: int, seed: int = 0) -> DataFrame:
+    """For each class the centre of another group that it shares most tokens with, where they are enough
+    for a link. rows: t, c, n, g. A token's centre is the class of least hash among those of like size;
+    similar classes so have few, and another seed gives others."""
     bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
-    rows = live.withColumn("s", bucket)
+    rows = rows.select("t", "c", "n", "g", bucket.alias("s"))
     centre = rows.groupBy(F.col("t").alias("t2"), F.col("s").alias("s2")).agg(
-        F.min(F.struct(F.xxhash64("c", "t").alias("h"), F.col("c").alias("b"))).alias("m")
+        F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("h"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))).alias("m")
     )
-    pairs = rows.join(centre, (F.col("t") == F.col("t2")) & (F.col("s") == F.col("s2"))).select(
-        F.col("c").alias("a"), F.col("m.b").alias("b")
+    pairs = rows.join(centre, (F.col("t") == F.col("t2")) & (F.col("s") == F.col("s2")))
+    pairs = pairs.where(F.col("g") != F.col("m.gb")).select(
+        F.col("c").alias("a"), F.col("n").alias("na"), F.col("m.b").alias("b"), F.col("m.nb").alias("nb")
     )
-    counted = pairs.where("a != b").groupBy("a", "b").agg(F.count("*").alias("k"))
-    return counted.groupBy("a").agg(F.max(F.struct("k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    enough = counted.where(F.col("k") >= least_shared(F.col("na"), F.col("nb"), percent))
+    return enough.groupBy("a").agg(F.max(F.struct("k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
 
 
-def open_blocks(live: DataFrame, groups: DataFrame, tokens: DataFrame, path: str, percent: int) -> DataFrame:
-    """Links (a, b) between classes of different groups, found through the token-group matrix."""
+def grouped_rows(live: DataFrame, groups: DataFrame) -> DataFrame:
+    """live with each class's group g, the group's members m and the class's block k in it."""
     of = groups.select(F.col("v").alias("gv"), F.col("root").alias("g"), "members", "block")
-    rows = live.join(of, F.col("c") == F.col("gv"), "left").select(
+    return live.join(of, F.col("c") == F.col("gv"), "left").select(
         "t", "c", "n", F.coalesce("g", "c").alias("g"), F.coalesce("members", F.lit(1)).alias("m"),
         F.coalesce("block", F.lit(0)).alias("k"),
     )
-    rows = stored(rows, f"{path}/grouped")
-    # The matrix: a row for each token and block that has it, with the block's range of set sizes.
+
+
+def met_blocks(rows: DataFrame, path: str, percent: int) -> DataFrame:
+    """Pairs of a class and a block of another group that share enough prefix tokens: c, n, g2, k2,
+    found through the token-group matrix of rows (grouped_rows)."""
+    # The matrix: a row for each token and block that has it. Sizes are those of the block's members
+    # with the token, so each row bounds just these members.
     matrix = rows.groupBy("t", "g", "k").agg(
         F.min("n").alias("n1"), F.max("n").alias("n2"), F.first("m").alias("m")
     ).select(F.col("t").alias("t2"), F.col("g").alias("g2"), F.col("k").alias("k2"), "n1", "n2", F.col("m").alias("m2"))
     asks = (F.col("m") < F.col("m2")) | ((F.col("m") == F.col("m2")) & (F.col("g") < F.col("g2")))
     size_ok = (100 * F.col("n2") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("n1"))
-    met = (
+    shared = (
         rows.join(matrix, (F.col("t") == F.col("t2")) & (F.col("g") != F.col("g2")) & asks & size_ok)
-        .select("c", "n", "g2", "k2")
-        .distinct()
+        .groupBy("c", "n", "g2", "k2")
+        .agg(F.count("*").alias("shared"), F.min("n1").alias("n1"), F.max("n2").alias("n2"))
     )
-    met = stored(met, f"{path}/met")
+    n = F.col("n")
+    low = F.greatest(F.col("n1"), F.ceil(n * percent / F.lit(100)))
+    high = F.least(F.col("n2"), F.floor(n * 100 / F.lit(percent)))
+    least = F.least(least_shared(n, low, percent), least_shared(n, high, percent))  # it falls off to both sides
+    return stored(shared.where(F.col("shared") >= least).select("c", "n", "g2", "k2"), f"{path}/met")
+
+
+def open_blocks(rows: DataFrame, met: DataFrame, tokens: DataFrame, path: str, percent: int) -> DataFrame:
+    """Links (a, b) between the classes and blocks that met."""
     # Unions of the blocks that were met.
     member = rows.select("c", "g", "k").distinct()
     wanted = met.select(F.col("g2").alias("g"), F.col("k2").alias("k")).distinct()
@@ -256,7 +253,7 @@ def open_blocks(live: DataFrame, groups: DataFrame, tokens: DataFrame, path: str
     unions = (
         inside.join(tokens, "c")
         .groupBy("g", "k")
-        .agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.count("*").alias("size"), F.min("c").alias("only"))
+        .agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.count_distinct("c").alias("size"), F.min("c").alias("only"))
         .select(F.col("g").alias("g2"), F.col("k").alias("k2"), "union", "size", "only")
     )
     own = tokens.select("c", "tokens")
@@ -298,19 +295,37 @@ def similarity_components(
     live = stored(shared_prefixes(rows), f"{path}/live")
     tidy()
     firsts = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("id"))
-    chosen = stored(firsts.join(live.select("c").distinct(), "c", "left_semi"), f"{path}/chosen")
-    tokens = stored(class_tokens(src, chosen, k), f"{path}/tokens")
-    tidy()
-    links = stored(verified(star_pairs(live, percent), tokens, percent), f"{path}/links0")
+
+    def tokens_for(classes: DataFrame, name: str) -> DataFrame:
+        chosen = stored(firsts.join(classes.distinct(), "c", "left_semi"), f"{path}/{name}_ids")
+        return stored(class_tokens(src, chosen, k), f"{path}/{name}")
+
+    grouped = live.withColumn("g", F.col("c"))
+    links = None
+    for r in range(ROUNDS):
+        pairs = stored(star_pairs(grouped, percent, r), f"{path}/pairs{r}")
+        tokens = tokens_for(pairs.select(F.col("a").alias("c")).union(pairs.select("b")), f"star{r}")
+        found = stored(verified(pairs, tokens, percent), f"{path}/links{r}")
+        links = found if links is None else links.unionByName(found)
+        tidy()
+        groups = stored(with_blocks(connected_components(links, f"{path}/a{r}")), f"{path}/groups{r}")
+        grouped = stored(grouped_rows(live, groups), f"{path}/grouped{r}")
+        for name in (f"pairs{r}", f"star{r}_ids", f"star{r}", f"a{r}", f"groups{r}", f"grouped{r - 1}"):
+            remove(spark, f"{path}/{name}")
+        tidy()
+    remove(spark, f"{path}/live")
+    met = met_blocks(grouped, path, percent)
     tidy()
-    groups = stored(with_blocks(connected_components(links, f"{path}/a")), f"{path}/groups")
-    more = stored(open_blocks(live, groups, tokens, path, percent), f"{path}/links1")
+    in_blocks = grouped.join(met.select(F.col("g2").alias("g"), F.col("k2").alias("k")).distinct(), ["g", "k"], "left_semi")
+    tokens = tokens_for(met.select("c").union(in_blocks.select("c")), "tokens1")
+    more = stored(open_blocks(grouped, met, tokens, path, percent), f"{path}/links")
     tidy()
     comps = stored(connected_components(links.unionByName(more), f"{path}/b"), f"{path}/comps")
     rooted = rows.select("doc_id", "n", "c").join(comps, F.col("c") == F.col("v"), "left")
     rooted = rooted.select("doc_id", "n", "c", F.coalesce("root", "c").alias("r"))
     rooted = stored(rooted, f"{path}/rooted")
-    for name in ("rows", "live", "chosen", "tokens", "links0", "links1", "groups", "grouped", "met", "bound", "comps", "a", "b"):
+    remove(spark, f"{path}/rows")
+    for name in [*(f"links{r}" for r in range(ROUNDS)), f"grouped{ROUNDS - 1}", "met", "tokens1_ids", "tokens1", "bound", "links", "b", "comps"]:
         remove(spark, f"{path}/{name}")
     least = rooted.where("r is not null").groupBy(F.col("r").alias("r2")).agg(F.min("doc_id").alias("least"))
     return rooted.join(least, F.col("r") == F.col("r2"), "left").select(

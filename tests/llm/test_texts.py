@@ -331,7 +331,7 @@ def test_jaccard(spark, monkeypatch, block):
 
 def test_jaccard_opens_blocks(spark, monkeypatch):
     """Groups that the first round leaves apart are found through the matrix."""
-    monkeypatch.setattr(jaccard, "star_pairs", lambda live, percent: live.selectExpr("c as a", "c as b").where("a != b"))
+    monkeypatch.setattr(jaccard, "star_pairs", lambda live, percent, seed: live.selectExpr("c as a", "c as b").where("a != b"))
     rows = near_copies(random.Random(7), 8, 10)
     assert Counter(map(tuple, jaccard.similarity_components(frame(spark, rows)).collect())) == slow_components(rows)
 
@@ -405,3 +405,22 @@ def test_pipeline(spark, sf):
     want = {i: spm.encode(tables, t) for i, t in docs if i not in gone}
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf).collect()}
     assert gone and got == want
+
+
+def test_word_hashes(monkeypatch):
+    import pyarrow as pa
+
+    from assayflow.llm import shingles as sh
+
+    monkeypatch.setattr(sh, "PIECE", 64)
+    rng = random.Random(4)
+    texts = [None, "", " ", "a", "A b\tC\x0bd\n", "x" * 500 + " y", "é\xa0É ß", " ".join(some_words(rng, 300))]
+    texts += ["".join(rng.choice("ab \n\x1f") for _ in range(rng.randrange(90))) for _ in range(200)]
+    col = pa.array(texts).slice(1)
+    seen: dict = {}
+    for text, h in zip(texts[1:], sh.text_words(col), strict=True):
+        own = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        assert len(own) == len(h)
+        for w, x in zip(own, h.tolist(), strict=True):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
