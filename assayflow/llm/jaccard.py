@@ -80,7 +80,7 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def heavy_tokens(docs: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
     """The `most` most frequent tokens, sorted, and their places by frequency. Counts are over all
     documents, less those of a token that a task's chunk holds once."""
-    chunk = 6_000_000
+    chunk = 2_000_000
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
