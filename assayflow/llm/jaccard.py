@@ -195,6 +195,15 @@ def least_shared(n1: Column, n2: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), overlap - F.ceil(F.greatest(n1, n2) * percent / F.lit(100)) + 1)
 
 
+def least_shared_between(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """The minimum of least_shared(n, x) for x from low to high. Up to n it rises with x. Above n it falls by
+    percent**2 / (100 * (100 + percent)) a step, but the ceilings can lift it by less than 2, so a size
+    just below high may need one token less; sizes farther below need no less than high does."""
+    near = -(-100 * (100 + percent) // percent**2)
+    sizes = [low, *[F.greatest(low, high - k) for k in range(near)]]
+    return F.least(*[least_shared(n, x, percent) for x in sizes])
+
+
 def star_pairs(rows: DataFrame, percent: int, seed: int = 0) -> DataFrame:
     """For each class the centre of another group that it shares most tokens with, where they are enough
     for a link. rows: t, c, n, g. A token's centre is the class of least hash among those of like size;
@@ -240,7 +249,7 @@ def met_blocks(rows: DataFrame, path: str, percent: int) -> DataFrame:
     n = F.col("n")
     low = F.greatest(F.col("n1"), F.ceil(n * percent / F.lit(100)))
     high = F.least(F.col("n2"), F.floor(n * 100 / F.lit(percent)))
-    least = F.least(least_shared(n, low, percent), least_shared(n, high, percent))  # it falls off to both sides
+    least = least_shared_between(n, low, high, percent)
     return stored(shared.where(F.col("shared") >= least).select("c", "n", "g2", "k2"), f"{path}/met")
 
 

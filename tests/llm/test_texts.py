@@ -336,6 +336,35 @@ def test_jaccard_opens_blocks(spark, monkeypatch):
     assert Counter(map(tuple, jaccard.similarity_components(frame(spark, rows)).collect())) == slow_components(rows)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_jaccard_least_shared_between(spark, percent):
+    """The bound over a range of sizes is the least over each size in it."""
+
+    def slow(n, x):
+        return max(1, -(-percent * (n + x) // (100 + percent)) - -(-max(n, x) * percent // 100) + 1)
+
+    rows = []
+    for n in [*range(1, 40), 100, 101, 255, 599]:
+        low, high = -(-n * percent // 100), n * 100 // percent
+        for n1 in range(low, high + 1):
+            least = slow(n, n1)
+            for n2 in range(n1, min(high, n1 + 60) + 1):
+                least = min(least, slow(n, n2))
+                rows.append((n, n1, n2, least))
+    n, n1, n2 = (jaccard.F.col(c) for c in ("n", "n1", "n2"))
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["n", "n1", "n2", "least"]))
+    assert df.where(jaccard.least_shared_between(n, n1, n2, percent) != jaccard.F.col("least")).count() == 0
+
+
+def test_jaccard_meets_blocks_of_mixed_sizes(spark, tmp_path):
+    """13 and 14 tokens link with one shared prefix token, though 13 and 13, or 13 and 15, need two."""
+    rows = [(5, 1, 13, 1, 1, 0), (5, 2, 13, 2, 3, 0), (5, 3, 14, 2, 3, 0), (5, 4, 15, 2, 3, 0)]
+    df = spark.createDataFrame(rows, "t long, c long, n long, g long, m long, k int")
+    assert [tuple(r) for r in jaccard.met_blocks(df, str(tmp_path), 80).collect()] == [(1, 13, 2, 0)]
+
+
 # ---------------------------------------------------------------- WARC
 
 
