@@ -87,6 +87,24 @@ def test_language_id(spark, sf):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def test_language_id_rejects(spark, sf):
+    """Gibberish and an unlearned language go; documents stay, and so do short passages of them."""
+    import base64
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    profiles = langid.learn_profiles(docs)
+    rng = random.Random(8)
+    letters = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(n)) for n in (40, 500)]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem."
+    bad = [*letters, base64.b64encode(rng.randbytes(2250)).decode(), polish, "123 !?", None]
+    texts = [r.text for r in docs.select("text").collect() if r.text and any(c.isalpha() for c in r.text)]
+    short = [" ".join(t.split()[:n]) for t in texts for n in (1, 3, 8)]
+    good = [*texts, *[t for t in short if any(c.isalpha() for c in t)], "the", "the house", "de la casa"]
+    rows = list(enumerate([*bad, *good]))
+    got = {r.doc_id for r in langid.keep_identified(frame(spark, rows), profiles).collect()}
+    assert got == set(range(len(bad), len(rows)))
+
+
 def test_ranking_is_rank_order():
     text = "Anna anno, Ñandú 7 a"
     count = Counter()
