@@ -535,9 +535,8 @@ def enrich_top1(spark, sf):
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("entry_id"), F.col("p_brand").alias("protein_name"),
         F.lit(None).cast("string").alias("gene_name"), F.lit("").alias("organism"), F.lit(True).alias("reviewed"), F.col("p_partkey").alias("position"),
     )
-    first = entries.groupBy("protein_name").agg(F.min_by(F.struct(*entries.columns), "position").alias("e")).select("e.*")
     rows = records(spark, sf).withColumn("organism", F.lit(""))
-    return enrichment.enrich(rows, first, threshold=0.0).select(*KEY, "uniprot_id")
+    return enrichment.enrich(rows, entries, threshold=0.0).select(*KEY, "uniprot_id")
 
 
 # ---------------------------------------------------------------- evaluation

@@ -293,3 +293,21 @@ def test_tokens(spark):
     assert got["provider", "zhipuaiclient"].cost == pytest.approx(0.8)
     assert got["total", None].request_count == 2
     assert one(spark, V.estimate_tokens(F.col("t")), t="酶ab cd") == 1 + 2
+
+
+def test_enrich_of_many_alike(spark, sf, monkeypatch):
+    """Alike entries count as several candidates, the first of the best is taken, and the query passes all."""
+    from assayflow.plans import queries
+
+    rows = [{"enzyme_name": n, "organism": "Bacillus subtilis"} for n in ("CotA", "Lcc1", "OPH")]
+    entries = [(f"A{i}", "CotA", None, "Bacillus subtilis", False, i) for i in range(5, 0, -1)]
+    entries += [("B1", "CotA", None, "Bacillus subtilis", True, 9), ("B2", "CotA", None, "Bacillus subtilis", True, 8)]
+    entries += [("C1", "Lcc1", None, "Bacillus subtilis", False, 2), ("C2", "Lcc1", None, "Bacillus subtilis", False, 1)]
+    entries += [("D1", "OPH", None, "Bacillus subtilis", False, 1)]
+    table = spark.createDataFrame(entries, "entry_id string, protein_name string, gene_name string, organism string, reviewed boolean, position int")
+    got = {r.rec_idx: (r.uniprot_id, r.enrichment) for r in enrichment.enrich(frame(spark, rows), table).collect()}
+    assert got == {0: ("B2", "filled"), 1: ("C2", "filled"), 2: (None, "below_threshold")}
+    given = []
+    monkeypatch.setattr(queries.enrichment, "enrich", lambda rows, entries, **_: given.append(entries) or rows)
+    queries.enrich_top1(spark, sf)
+    assert given[0].count() == spark.read.parquet(f"{sf}/part.parquet").count()
