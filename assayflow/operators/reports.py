@@ -94,9 +94,9 @@ def token_summary(usage: DataFrame, prices: DataFrame | None = None) -> DataFram
         F.count_if(F.col("source") == "estimated").alias("estimated_requests"), F.count_if("is_multimodal").alias("multimodal_requests"),
         F.grouping_id().alias("level"),
     )
-    prices = price_table(usage.sparkSession) if prices is None else prices
+    prices = F.broadcast(price_table(usage.sparkSession)) if prices is None else prices
     cost = F.col("prompt_tokens") / 1e6 * F.coalesce("price_in", F.lit(0.0)) + F.col("completion_tokens") / 1e6 * F.coalesce("price_out", F.lit(0.0))
-    return sums.join(F.broadcast(prices.limit(10_000)), F.col("provider") == F.col("p"), "left").select(
+    return sums.join(prices, F.col("provider") == F.col("p"), "left").select(
         F.element_at(F.create_map(F.lit(3), F.lit("total"), F.lit(1), F.lit("provider"), F.lit(0), F.lit("model")), F.col("level").cast("int")).alias("level"),
         "provider", "model", "prompt_tokens", "completion_tokens", "total_tokens", "request_count", "estimated_requests", "multimodal_requests",
         cost.alias("cost"), F.coalesce("currency", F.lit("")).alias("currency"),

@@ -73,8 +73,8 @@ def unreadable(responses: DataFrame) -> DataFrame:
 
 
 def replicate(records: DataFrame, models: DataFrame) -> DataFrame:
-    """Shared table records for every model (O-J10); models is a short list."""
-    return records.drop("model").crossJoin(F.broadcast(models.select("model").distinct().limit(1000)))
+    """Shared table records for every model (O-J10)."""
+    return records.drop("model").crossJoin(models.select("model").distinct())
 
 
 def first_model_fallback(aggregated: DataFrame, students: DataFrame) -> DataFrame:

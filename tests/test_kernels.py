@@ -311,3 +311,15 @@ def test_enrich_of_many_alike(spark, sf, monkeypatch):
     monkeypatch.setattr(queries.enrichment, "enrich", lambda rows, entries, **_: given.append(entries) or rows)
     queries.enrich_top1(spark, sf)
     assert given[0].count() == spark.read.parquet(f"{sf}/part.parquet").count()
+
+
+def test_no_row_caps(spark):
+    """Every provider has its price and every model its records, however many there are."""
+    models = spark.range(1001).selectExpr("concat('m', id) AS model")
+    assert answers.replicate(frame(spark, [{}]), models).count() == 1001
+    prices = spark.range(10_001).selectExpr("concat('p', id) AS p", "1.0D AS price_in", "1.0D AS price_out", "'USD' AS currency")
+    used = spark.range(10_001).selectExpr(
+        "concat('P', id) AS provider", "'m' AS model", "1L AS prompt_tokens", "1L AS completion_tokens", "'api' AS source", "false AS is_multimodal"
+    )
+    got = reports.token_summary(used, prices).where("level = 'provider'")
+    assert got.where("currency = 'USD' AND cost > 0").count() == 10_001
