@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,28 +12,33 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space of the contract's word pattern, as a Java character class.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
-
 _OWN_DIR: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share; it goes when the
+    driver's JVM ends.
 
-    Where that setting is unset (tests, a single machine), a temporary folder is made once and
-    removed when the driver ends.
+    Where that setting is unset on a single machine (local master, as in tests), a temporary folder
+    is made once and removed when the driver ends; on a cluster it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="assayflow-"))
             atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
         base = f"file://{_OWN_DIR[0]}"
-    return f"{base.rstrip('/')}/assayflow-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/assayflow-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -41,18 +47,23 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Lets Spark drop the shuffle files of a query when it ends.
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, so that lost executors cost
-    no recomputation of what came before."""
-    df.write.mode("overwrite").parquet(path)
+    no recomputation of what came before. Its shuffle files go at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(_DROP, "false")
+    conf.set(_DROP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(_DROP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that have ended."""
-    spark._jvm.System.gc()
-
-
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it (a cluster may instead
     install it or get it with --py-files)."""
@@ -99,11 +110,3 @@ def arrow_rows(
                 )
 
     return df.mapInArrow(run, ddl)
-
-
-def words_array(text: Column, lower: bool = False) -> Column:
-    """Words [^\\x20\\x09-\\x0D]+ of a text as an array; none for null."""
-    t = F.coalesce(text, F.lit(""))
-    if lower:
-        t = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(t, SPACE_CLASS + "+"), lambda w: w != "")

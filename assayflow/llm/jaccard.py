@@ -4,30 +4,33 @@ A document's tokens are the 64-bit hashes of its distinct word 5-grams. Document
 one class; classes link when their Jaccard similarity reaches the threshold. The join
 
 1. puts tokens into one order, frequent ones last, and keeps of every class the prefix that any
-   linked class must share a token with (frequencies only choose the order, never drop a token);
-2. puts similar classes into groups, in ROUNDS rounds: each class is compared with the one of another
-   group that most often is the centre of its tokens; verified links form groups, dealt into blocks of
-   about BLOCK members;
+   linked class must share a token with (frequencies only choose the order, never drop a token).
+   Sizes and places in the prefix bound the overlap of two classes whose first shared token this is;
+   a token's rows that no other class can meet under this bound go;
+2. puts similar classes into groups: each class is compared with the one of another group that most
+   often is the centre of its tokens, the class in which the token stands first; verified links form
+   groups. Rounds go on while an eighth of the comparisons are links. Groups are dealt into blocks
+   of bounded size;
 3. stores the matrix of tokens and blocks (a block's tokens are the union of its members'), looks up
-   the prefix of every class of another group in it, and for the blocks it meets bounds the possible
-   overlap by that of the class with the block's whole union; only blocks that reach the needed
-   overlap are opened, and their members compared exactly;
+   the prefix of every class of another group in it, and for the blocks it meets under the bound of
+   sizes and places bounds the possible overlap by that of the class with the block's whole union;
+   only blocks that reach the needed overlap are opened, and their members compared exactly;
 4. joins groups along the links found to components.
 
-No pair within a group is ever listed: members of a group are already connected. Token lists of
-classes without any shared prefix token are never gathered. What is broadcast is bounded: HEAVY
-frequent tokens, and ids of classes up to BROADCAST_IDS (beyond, the join is a shuffle).
+No pair within a group is ever listed: members of a group are already connected. Texts are read in
+full for the frequencies and for the prefixes; a third time only those that can meet another class.
+What is broadcast is bounded: HEAVY frequent tokens, and ids of classes up to BROADCAST_IDS (beyond,
+the join is a shuffle).
 
 Defined cases: null or empty texts have no tokens and are alone; fewer than five words form one
-token; null ids are kept and never chosen as a component's least id while another id is there;
-repeated rows are in one class; empty table, empty result; further columns are ignored. Two
-different sets fall into one class only if their 64-bit hashes agree.
+token; very long texts are hashed in pieces, in one token list; null ids are kept and never chosen
+as a component's least id while another id is there; repeated rows are in one class; empty table,
+empty result; further columns are ignored. Classes are told apart by 128 bits of hash.
 """
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +38,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, keyed, remove, ship, stored, work_dir
+from .common import keyed, remove, ship, stored, work_dir
 from .components import connected_components
 from .shingles import token_sets
 
 WORDS = 5
 PERCENT = 80
 HEAVY = 1 << 18
-ROUNDS = 3
+ROUNDS = 4
+#: Members and tokens of a block, about.
 BLOCK = 64
+BLOCK_TOKENS = 1 << 20
 BROADCAST_IDS = 2_000_000
+#: Classes that a task remembers to have given out.
+REMEMBERED = 1 << 20
 
 
-def class_of(tokens: np.ndarray) -> int | None:
-    return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
+def class_of(tokens: np.ndarray) -> tuple[int, int] | None:
+    """The 128 bits that stand for a token set; none for the empty one."""
+    if not len(tokens):
+        return None
+    value = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    return (value >> 64) - (1 << 63), (value & ((1 << 64) - 1)) - (1 << 63)
 
 
 def needed(n, percent: int = PERCENT):
@@ -72,9 +83,28 @@ def prefix(tokens: np.ndarray, heavy: np.ndarray, rank: np.ndarray, percent: int
     return np.concatenate([light, rest[np.argsort(place)][: most - len(light)]])
 
 
-def lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays or [np.empty(0, np.int64)])))
+def lists(arrays: list[np.ndarray | None]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([0 if a is None else len(a) for a in arrays])]).astype(np.int32)
+    values = [a for a in arrays if a is not None and len(a)]
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)),
+        mask=pa.array([a is None for a in arrays], pa.bool_()),
+    )
+
+
+class Seen:
+    """Classes that a task met before, as far as REMEMBERED goes: copies then cost no more rows."""
+
+    def __init__(self) -> None:
+        self.known: set[tuple[int, int]] = set()
+
+    def new(self, c: tuple[int, int] | None) -> bool:
+        if c is None or c in self.known:
+            return False
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        self.known.add(c)
+        return True
 
 
 def heavy_tokens(docs: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
@@ -85,21 +115,17 @@ def heavy_tokens(docs: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        seen: set = set()
 
         def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts > 1
             held.clear()
-            seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often])], ["t", "n"])
 
-        size = 0
+        size, seen = 0, Seen()
         for batch in batches:
             for tokens in token_sets(batch.column(0), k):
-                c = class_of(tokens)
-                if c is not None and c not in seen:
-                    seen.add(c)
+                if seen.new(class_of(tokens)):
                     held.append(tokens)
                     size += len(tokens)
                     if size >= chunk:
@@ -115,7 +141,8 @@ def heavy_tokens(docs: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndarray
 
 
 def class_prefixes(docs: DataFrame, heavy: np.ndarray, rank: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc_id, n, c (class; null: no tokens), prefix of every row."""
+    """doc_id, n, c and c2 (class; null: no tokens) of every row, and the prefix of each class, null on
+    rows whose class the task has met before."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((heavy, rank))
     ship(spark)
@@ -123,51 +150,99 @@ def class_prefixes(docs: DataFrame, heavy: np.ndarray, rank: np.ndarray, k: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_heavy, own_rank = shared.value
+        seen = Seen()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                sets = list(token_sets(part.column(1), k))
+                sizes, firsts, seconds, prefixes = [], [], [], []
+                for s in token_sets(part.column(1), k):
+                    c = class_of(s)
+                    sizes.append(len(s))
+                    firsts.append(c and c[0])
+                    seconds.append(c and c[1])
+                    prefixes.append(prefix(s, own_heavy, own_rank, percent) if seen.new(c) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([class_of(s) for s in sets], pa.int64()),
-                        lists([prefix(s, own_heavy, own_rank, percent) for s in sets]),
-                    ],
-                    ["doc_id", "n", "c", "prefix"],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), lists(prefixes)],
+                    ["doc_id", "n", "c", "c2", "prefix"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, c bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, c bigint, c2 bigint, prefix array<bigint>")
+
+
+def told_apart(rows: DataFrame, path: str) -> Callable[[DataFrame], DataFrame]:
+    """Makes the first half of the class hash serve alone (frames with c and c2): where two classes share
+    it, both halves are hashed into a new one. Such classes are hardly ever there, and then few."""
+    both = rows.where("c is not null").groupBy("c").agg(F.min("c2").alias("lo"), F.max("c2").alias("hi"))
+    clash = stored(both.where("lo < hi").select(F.col("c").alias("shared_c")), f"{path}/clash")
+    if clash.isEmpty():
+        return lambda df: df
+
+    def mend(df: DataFrame) -> DataFrame:
+        cols = [F.when(F.col("shared_c").isNull(), F.col("c")).otherwise(F.xxhash64("c", "c2")).alias("c") if c == "c" else F.col(c) for c in df.columns]
+        return df.join(clash, F.col("c") == F.col("shared_c"), "left").select(*cols)
 
+    return mend
 
-def class_tokens(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """c, n, tokens of the chosen classes (id: a document of each), read from the texts again. Rows that
-    share an id are all read, so a class may come twice or unasked for."""
+
+def class_tokens(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """c, c2, n, tokens of the classes of the documents with these ids (column id), read from the texts
+    again. Rows that share an id are all read, so a class may come unasked for; a task gives it once."""
     spark = docs.sparkSession
-    ids = chosen.select(F.col("id").alias("i")).distinct()
-    if chosen.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    some = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
+    own = ids.select(F.col("id").alias("i")).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        own = F.broadcast(own)
+    some = docs.join(own, F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                sets = [s for s in token_sets(batch.column(0).slice(start, 512), k) if len(s)]
+                found = [(class_of(s), s) for s in token_sets(batch.column(0).slice(start, 512), k)]
+                found = [(c, s) for c, s in found if seen.new(c)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(sets)],
-                    ["c", "n", "tokens"],
-                )
+                    [
+                        pa.array([c[0] for c, _ in found], pa.int64()), pa.array([c[1] for c, _ in found], pa.int64()),
+                        pa.array([len(s) for _, s in found], pa.int64()), lists([s for _, s in found]),
+                    ],
+                    ["c", "c2", "n", "tokens"],
+                )
 
-    return some.select("text").mapInArrow(run, "c bigint, n bigint, tokens array<bigint>")
+    return some.select("text").mapInArrow(run, "c bigint, c2 bigint, n bigint, tokens array<bigint>")
 
 
 def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """t, c, n of the prefix tokens that two classes or more have. One shuffle, by token: it serves
-    the search for such tokens and the lookup."""
-    posts = rows.where("c is not null").select("c", "n", F.explode("prefix").alias("t")).repartition("t")
+    """t, c, n, p (place) of the prefix tokens that two classes or more have. One shuffle, by token: it
+    serves the search for such tokens and the lookup. Size and place travel as one number."""
+    place = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("p").cast("long")).alias("np")
+    posts = rows.where("prefix is not null").select("c", "n", F.posexplode("prefix").alias("p", "t")).select("t", "c", place)
+    posts = posts.repartition("t")
     twice = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    return posts.join(twice.select("t").hint("shuffle_hash"), "t", "left_semi").select("t", "c", "n").distinct()
+    both = posts.join(twice.select("t").hint("shuffle_hash"), "t", "left_semi").distinct()
+    return both.select("t", "c", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("p"))
+
+
+def room(n: Column, p: Column, percent: int) -> Column:
+    """What bounds the sizes that a class of n tokens can link with if its first shared token stands at
+    place p: at most n - p tokens are shared, and a link with n2 needs percent * (n + n2) / (100 + percent).
+    So percent * n2 <= room, for both classes."""
+    return 100 * n - (100 + percent) * p
+
+
+def meet(n1: Column, room1: Column, n2: Column, room2: Column, percent: int) -> Column:
+    return (room1 >= percent * n2) & (room2 >= percent * n1)
+
+
+def able_to_meet(live: DataFrame, percent: int) -> DataFrame:
+    """Rows t, c, n, p, s (size bucket), u (room) of live that some other class may meet: one of its own bucket
+    or a neighbouring one. Buckets are a little wider than the ratio of sizes that can link. A bucket is
+    known by its bounds alone, the row's own included, so some rows stay that meet none."""
+    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.001 / percent))).cast("int")
+    rows = live.select("t", "c", "n", "p", bucket.alias("s"), room(F.col("n"), F.col("p"), percent).alias("u")).repartition("t")
+    most = rows.groupBy("t", "s").agg(F.max("u").alias("u2"), F.min("n").alias("n2"), F.count("*").alias("k"))
+    most = most.select(F.col("t").alias("t2"), F.col("s").alias("s2"), "u2", "n2", "k").hint("shuffle_hash")
+    other = (F.col("t") == F.col("t2")) & (F.abs(F.col("s") - F.col("s2")) <= 1) & ((F.col("s") != F.col("s2")) | (F.col("k") > 1))
+    return rows.join(most, other & meet(F.col("n"), F.col("u"), F.col("n2"), F.col("u2"), percent), "left_semi")
 
 
 def similar(inter: Column, n1: Column, n2: Column, percent: int) -> Column:
@@ -175,11 +250,12 @@ def similar(inter: Column, n1: Column, n2: Column, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
+    """The pairs (a, b, ...) of classes that link."""
     x = tokens.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     y = tokens.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.select("a", "b").join(x, "a").join(y, "b")
-    return both.where(similar(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    both = pairs.join(x, "a").join(y, "b")
+    found = both.where(similar(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"), percent))
+    return found.select(*pairs.columns)
 
 
 def fits(n1: Column, n2: Column, percent: int) -> Column:
@@ -187,84 +263,64 @@ def fits(n1: Column, n2: Column, percent: int) -> Column:
     return (100 * F.least(n1, n2)) >= percent * F.greatest(n1, n2)
 
 
-def least_shared(n1: Column, n2: Column, percent: int) -> Column:
-    """Prefix tokens that linked sets of these sizes share at least. Up to the lesser of the two
-    prefixes' ends in the common order, both prefixes hold every token. The set whose prefix ends there
-    has need - 1 tokens beyond it, so the overlap is at most the shared prefix tokens and those."""
-    overlap = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
-    return F.greatest(F.lit(1), overlap - F.ceil(F.greatest(n1, n2) * percent / F.lit(100)) + 1)
-
-
-def least_shared_between(n: Column, low: Column, high: Column, percent: int) -> Column:
-    """The minimum of least_shared(n, x) for x from low to high. Up to n it rises with x. Above n it falls by
-    percent**2 / (100 * (100 + percent)) a step, but the ceilings can lift it by less than 2, so a size
-    just below high may need one token less; sizes farther below need no less than high does."""
-    near = -(-100 * (100 + percent) // percent**2)
-    sizes = [low, *[F.greatest(low, high - k) for k in range(near)]]
-    return F.least(*[least_shared(n, x, percent) for x in sizes])
-
-
 def star_pairs(rows: DataFrame, percent: int, seed: int = 0) -> DataFrame:
-    """For each class the centre of another group that it shares most tokens with, where they are enough
-    for a link. rows: t, c, n, g. A token's centre is the class of least hash among those of like size;
-    similar classes so have few, and another seed gives others."""
-    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
-    rows = rows.select("t", "c", "n", "g", bucket.alias("s"))
-    centre = rows.groupBy(F.col("t").alias("t2"), F.col("s").alias("s2")).agg(
-        F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("h"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))).alias("m")
-    )
+    """For each class a the centre b of another group that it meets most often (ga, gb: their groups).
+    rows: t, c, n, p, s, u, g. A token's centre among classes of like size is the one in which it stands
+    first: it has least that others lack. Equals are told apart by a hash that changes with the seed."""
+    rows = rows.repartition("t", "s")
+    first = F.struct("p", F.xxhash64("c", F.lit(seed)).alias("h"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("g").alias("gb"))
+    centre = rows.groupBy(F.col("t").alias("t2"), F.col("s").alias("s2")).agg(F.min(first).alias("m"))
     pairs = rows.join(centre, (F.col("t") == F.col("t2")) & (F.col("s") == F.col("s2")))
-    pairs = pairs.where(F.col("g") != F.col("m.gb")).select(
-        F.col("c").alias("a"), F.col("n").alias("na"), F.col("m.b").alias("b"), F.col("m.nb").alias("nb")
+    pairs = pairs.where((F.col("g") != F.col("m.gb")) & meet(F.col("n"), F.col("u"), F.col("m.nb"), F.col("m.ub"), percent))
+    counted = pairs.groupBy(F.col("c").alias("a"), F.col("m.b").alias("b")).agg(
+        F.count("*").alias("k"), F.first("g").alias("ga"), F.first("m.gb").alias("gb")
     )
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    enough = counted.where(F.col("k") >= least_shared(F.col("na"), F.col("nb"), percent))
-    return enough.groupBy("a").agg(F.max(F.struct("k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-
-
-def grouped_rows(live: DataFrame, groups: DataFrame) -> DataFrame:
-    """live with each class's group g, the group's members m and the class's block k in it."""
-    of = groups.select(F.col("v").alias("gv"), F.col("root").alias("g"), "members", "block")
-    return live.join(of, F.col("c") == F.col("gv"), "left").select(
-        "t", "c", "n", F.coalesce("g", "c").alias("g"), F.coalesce("members", F.lit(1)).alias("m"),
-        F.coalesce("block", F.lit(0)).alias("k"),
-    )
-
-
-def met_blocks(rows: DataFrame, path: str, percent: int) -> DataFrame:
-    """Pairs of a class and a block of another group that share enough prefix tokens: c, n, g2, k2,
-    found through the token-group matrix of rows (grouped_rows)."""
-    # The matrix: a row for each token and block that has it. Sizes are those of the block's members
-    # with the token, so each row bounds just these members.
-    matrix = rows.groupBy("t", "g", "k").agg(
-        F.min("n").alias("n1"), F.max("n").alias("n2"), F.first("m").alias("m")
-    ).select(F.col("t").alias("t2"), F.col("g").alias("g2"), F.col("k").alias("k2"), "n1", "n2", F.col("m").alias("m2"))
+    best = counted.groupBy("a").agg(F.max(F.struct("k", "b", "ga", "gb")).alias("m"))
+    return best.select("a", "m.b", "m.ga", "m.gb")
+
+
+def labels_of(links: DataFrame) -> DataFrame:
+    """x, y: a group and the one it joins. Each group follows its most linked centre, and that one's own
+    centre if that is less; what this leaves apart is joined later."""
+    to = links.groupBy("ga", "gb").agg(F.count("*").alias("k")).groupBy("ga").agg(F.max(F.struct("k", "gb")).alias("m")).select("ga", "m.gb")
+    then = to.select(F.col("ga").alias("via"), F.col("gb").alias("far"))
+    both = to.join(then, F.col("gb") == F.col("via"), "left")
+    return both.select(F.col("ga").alias("x"), F.least("gb", F.coalesce("far", "gb")).alias("y")).where("x != y")
+
+
+def grouped_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of the tokens that two groups or more have, with the group's members m and the class's block k
+    in it."""
+    across = rows.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("t")
+    members = rows.select("c", "n", "g").distinct().groupBy(F.col("g").alias("g1")).agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    of = rows.join(across, "t", "left_semi").join(members, F.col("g") == F.col("g1"))
+    blocks = F.greatest(F.lit(1), F.floor(F.col("m") / BLOCK), F.least(F.col("m"), F.floor(F.col("all") / BLOCK_TOKENS)))
+    return of.select("t", "c", "n", "u", "g", "m", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("k"))
+
+
+def met_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a class and a block of another group that may link by sizes and places: c, n, g2, k2, found
+    through the token-group matrix of rows (grouped_rows)."""
+    # The matrix: a row for each token and block that has it, with what bounds the block's members
+    # with the token.
+    matrix = rows.groupBy("t", "g", "k").agg(F.min("n").alias("n2"), F.max("u").alias("u2"), F.first("m").alias("m2"))
+    matrix = matrix.withColumnsRenamed({"t": "t2", "g": "g2", "k": "k2"})
     asks = (F.col("m") < F.col("m2")) | ((F.col("m") == F.col("m2")) & (F.col("g") < F.col("g2")))
-    size_ok = (100 * F.col("n2") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("n1"))
-    shared = (
-        rows.join(matrix, (F.col("t") == F.col("t2")) & (F.col("g") != F.col("g2")) & asks & size_ok)
-        .groupBy("c", "n", "g2", "k2")
-        .agg(F.count("*").alias("shared"), F.min("n1").alias("n1"), F.max("n2").alias("n2"))
-    )
-    n = F.col("n")
-    low = F.greatest(F.col("n1"), F.ceil(n * percent / F.lit(100)))
-    high = F.least(F.col("n2"), F.floor(n * 100 / F.lit(percent)))
-    least = least_shared_between(n, low, high, percent)
-    return stored(shared.where(F.col("shared") >= least).select("c", "n", "g2", "k2"), f"{path}/met")
+    on = (F.col("t") == F.col("t2")) & (F.col("g") != F.col("g2")) & asks
+    return rows.join(matrix, on & meet(F.col("n"), F.col("u"), F.col("n2"), F.col("u2"), percent)).select("c", "n", "g2", "k2").distinct()
 
 
 def open_blocks(rows: DataFrame, met: DataFrame, tokens: DataFrame, path: str, percent: int) -> DataFrame:
     """Links (a, b) between the classes and blocks that met."""
     # Unions of the blocks that were met.
-    member = rows.select("c", "g", "k").distinct()
     wanted = met.select(F.col("g2").alias("g"), F.col("k2").alias("k")).distinct()
-    inside = member.join(wanted, ["g", "k"], "left_semi")
+    inside = stored(rows.join(wanted, ["g", "k"], "left_semi").select("c", "n", "g", "k").distinct(), f"{path}/inside")
     unions = (
-        inside.join(tokens, "c")
+        inside.select("c", "g", "k").join(tokens, "c")
         .groupBy("g", "k")
         .agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.count_distinct("c").alias("size"), F.min("c").alias("only"))
         .select(F.col("g").alias("g2"), F.col("k").alias("k2"), "union", "size", "only")
-    )
+    )
     own = tokens.select("c", "tokens")
     bound = met.join(own, "c").join(unions, ["g2", "k2"]).select(
         "c", "n", "g2", "k2", "size", "only", F.size("union").alias("nu"),
@@ -274,19 +330,11 @@ def open_blocks(rows: DataFrame, met: DataFrame, tokens: DataFrame, path: str, p
     # A block of one class is its own union, so the bound is the overlap itself.
     single = bound.where("size = 1").where(similar(F.col("i"), F.col("n"), F.col("nu"), percent))
     opened = bound.where("size > 1").select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("g2").alias("g"), F.col("k2").alias("k"))
-    pairs = opened.join(rows.select(F.col("c").alias("b"), F.col("n").alias("nb"), "g", "k").distinct(), ["g", "k"])
+    pairs = opened.join(inside.select(F.col("c").alias("b"), F.col("n").alias("nb"), "g", "k"), ["g", "k"])
     pairs = pairs.where(fits(F.col("na"), F.col("nb"), percent)).select("a", "b")
     return single.select(F.col("c").alias("a"), F.col("only").alias("b")).unionByName(verified(pairs, tokens, percent))
 
 
-def with_blocks(groups: DataFrame) -> DataFrame:
-    """v, root, members, block: a group's members in blocks of about BLOCK, dealt by hash."""
-    sizes = groups.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("members"))
-    rows = groups.join(sizes, F.col("root") == F.col("r"))
-    blocks = F.greatest(F.lit(1), F.floor(F.col("members") / BLOCK))
-    return rows.select("v", "root", "members", F.pmod(F.xxhash64("v"), blocks).cast("int").alias("block"))
-
-
 def similarity_components(
     docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -294,48 +342,39 @@ def similarity_components(
     spark: SparkSession = docs.sparkSession
     path = work_dir(spark)
     src = keyed(docs, doc_id=id_col, text=text_col)
-
-    def tidy() -> None:
-        gc.collect()
-        free_shuffles(spark)
-
     heavy, rank = heavy_tokens(src, k)
     rows = stored(class_prefixes(src, heavy, rank, k, percent), f"{path}/rows")
+    mend = told_apart(rows, path)
+    rows = mend(rows)
     live = stored(shared_prefixes(rows), f"{path}/live")
-    tidy()
+    able = stored(able_to_meet(live, percent), f"{path}/able")
+    remove(spark, f"{path}/live")
     firsts = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("id"))
+    ids = stored(firsts.join(able.select("c").distinct(), "c", "left_semi"), f"{path}/ids")
+    tokens = stored(mend(class_tokens(src, ids, k)).drop("c2"), f"{path}/tokens")
 
-    def tokens_for(classes: DataFrame, name: str) -> DataFrame:
-        chosen = stored(firsts.join(classes.distinct(), "c", "left_semi"), f"{path}/{name}_ids")
-        return stored(class_tokens(src, chosen, k), f"{path}/{name}")
-
-    grouped = live.withColumn("g", F.col("c"))
-    links = None
+    grouped = able.withColumn("g", F.col("c"))
+    links = spark.createDataFrame([], "a bigint, b bigint")
     for r in range(ROUNDS):
         pairs = stored(star_pairs(grouped, percent, r), f"{path}/pairs{r}")
-        tokens = tokens_for(pairs.select(F.col("a").alias("c")).union(pairs.select("b")), f"star{r}")
-        found = stored(verified(pairs, tokens, percent), f"{path}/links{r}")
-        links = found if links is None else links.unionByName(found)
-        tidy()
-        groups = stored(with_blocks(connected_components(links, f"{path}/a{r}")), f"{path}/groups{r}")
-        grouped = stored(grouped_rows(live, groups), f"{path}/grouped{r}")
-        for name in (f"pairs{r}", f"star{r}_ids", f"star{r}", f"a{r}", f"groups{r}", f"grouped{r - 1}"):
-            remove(spark, f"{path}/{name}")
-        tidy()
-    remove(spark, f"{path}/live")
-    met = met_blocks(grouped, path, percent)
-    tidy()
-    in_blocks = grouped.join(met.select(F.col("g2").alias("g"), F.col("k2").alias("k")).distinct(), ["g", "k"], "left_semi")
-    tokens = tokens_for(met.select("c").union(in_blocks.select("c")), "tokens1")
-    more = stored(open_blocks(grouped, met, tokens, path, percent), f"{path}/links")
-    tidy()
-    comps = stored(connected_components(links.unionByName(more), f"{path}/b"), f"{path}/comps")
+        found = stored(verified(pairs, tokens, percent).distinct(), f"{path}/links{r}")
+        links = links.unionByName(found.select("a", "b"))
+        n_found = found.count()
+        if n_found:
+            label = stored(labels_of(found), f"{path}/labels{r}")
+            grouped = grouped.join(label, F.col("g") == F.col("x"), "left").withColumn("g", F.coalesce("y", "g")).drop("x", "y")
+            grouped = stored(grouped, f"{path}/grouped{r}")
+        if 8 * n_found < pairs.count():
+            break
+    matrix_rows = stored(grouped_rows(grouped, percent), f"{path}/matrix")
+    met = stored(met_blocks(matrix_rows, percent), f"{path}/met")
+    more = stored(open_blocks(matrix_rows, met, tokens, path, percent), f"{path}/links")
+    comps = stored(connected_components(links.unionByName(more), f"{path}/cc"), f"{path}/comps")
     rooted = rows.select("doc_id", "n", "c").join(comps, F.col("c") == F.col("v"), "left")
     rooted = rooted.select("doc_id", "n", "c", F.coalesce("root", "c").alias("r"))
-    rooted = stored(rooted, f"{path}/rooted")
-    remove(spark, f"{path}/rows")
-    for name in [*(f"links{r}" for r in range(ROUNDS)), f"grouped{ROUNDS - 1}", "met", "tokens1_ids", "tokens1", "bound", "links", "b", "comps"]:
-        remove(spark, f"{path}/{name}")
+    result = work_dir(spark)
+    rooted = stored(rooted, f"{result}/rooted")
+    remove(spark, path)
     least = rooted.where("r is not null").groupBy(F.col("r").alias("r2")).agg(F.min("doc_id").alias("least"))
     return rooted.join(least, F.col("r") == F.col("r2"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("r").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")

@@ -1,13 +1,17 @@
 """The text operators against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from assayflow.llm import chat, decontam, jaccard, langid, linededup, spm, warc
+from assayflow.llm import shingles as shingles_of
 from assayflow.llm.queries import TOKENIZER
 
 SCHEMA = "doc_id long, text string, k int, h1 string"
@@ -349,38 +353,83 @@ def test_jaccard(spark, monkeypatch, block):
 
 def test_jaccard_opens_blocks(spark, monkeypatch):
     """Groups that the first round leaves apart are found through the matrix."""
-    monkeypatch.setattr(jaccard, "star_pairs", lambda live, percent, seed: live.selectExpr("c as a", "c as b").where("a != b"))
+    none = "a bigint, b bigint, ga bigint, gb bigint"
+    monkeypatch.setattr(jaccard, "star_pairs", lambda rows, percent, seed: spark.createDataFrame([], none))
     rows = near_copies(random.Random(7), 8, 10)
     assert Counter(map(tuple, jaccard.similarity_components(frame(spark, rows)).collect())) == slow_components(rows)
 
 
 @pytest.mark.parametrize("percent", [50, 80, 95])
-def test_jaccard_least_shared_between(spark, percent):
-    """The bound over a range of sizes is the least over each size in it."""
+def test_jaccard_first_shared_token_lies_in_reach(percent):
+    """Linked sets have a first shared token that both prefixes hold and that the bound of sizes and places lets
+    through; its size buckets are neighbours."""
+    rng = random.Random(percent)
+    order = np.arange(400)
+    links = 0
+    for _ in range(20_000):
+        one = rng.sample(range(400), rng.randrange(1, 40))
+        two = [x for x in one if rng.random() < 0.9] + rng.sample(range(400), rng.randrange(0, 6))
+        x, y = sorted(set(one)), sorted(set(two))
+        both = set(x) & set(y)
+        if not y or 100 * len(both) < percent * len({*x, *y}):
+            continue
+        links += 1
+        t = min(both)
+        p, q = x.index(t), y.index(t)
+        assert t in jaccard.prefix(np.array(x), order[:0], order[:0], percent) and t in jaccard.prefix(np.array(y), order[:0], order[:0], percent)
+        u, v = 100 * len(x) - (100 + percent) * p, 100 * len(y) - (100 + percent) * q
+        assert u >= percent * len(y) and v >= percent * len(x)
+        s, z = (math.floor(math.log(len(w)) / math.log(100.001 / percent)) for w in (x, y))
+        assert abs(s - z) <= 1
+    assert links > 500
+
+
+def test_jaccard_keeps_what_can_meet(spark):
+    """One class of 13 tokens may meet one of 14 by its second token, but not by its third."""
+    rows = [(5, 1, 13, 1), (5, 2, 14, 1), (6, 1, 13, 2), (6, 2, 14, 1), (7, 1, 13, 0), (7, 3, 40, 0)]
+    df = spark.createDataFrame(rows, "t long, c long, n long, p long")
+    kept = jaccard.able_to_meet(df, 80).select("t", "c").collect()
+    assert sorted(map(tuple, kept)) == [(5, 1), (5, 2), (6, 2)]  # a bucket's bound holds the row itself
+    grouped = jaccard.able_to_meet(df, 80).withColumn("g", jaccard.F.col("c"))
+    assert [tuple(r) for r in jaccard.met_blocks(jaccard.grouped_rows(grouped, 80), 80).collect()] == [(1, 13, 2, 0)]
+
+
+def test_jaccard_many_copies_of_an_absent_text(spark):
+    """Versions of one text that isn't there itself, some linked only through others, and some in no link."""
+    rng = random.Random(3)
+    base = some_words(rng, 150, 5000)
+    rows = []
+    for i in range(160):
+        copy = list(base)
+        for j in rng.sample(range(150), rng.randrange(1, 8)):
+            copy[j] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = jaccard.similarity_components(frame(spark, rows).repartition(5)).collect()
+    assert Counter(map(tuple, got)) == slow_components(rows)
 
-    def slow(n, x):
-        return max(1, -(-percent * (n + x) // (100 + percent)) - -(-max(n, x) * percent // 100) + 1)
 
-    rows = []
-    for n in [*range(1, 40), 100, 101, 255, 599]:
-        low, high = -(-n * percent // 100), n * 100 // percent
-        for n1 in range(low, high + 1):
-            least = slow(n, n1)
-            for n2 in range(n1, min(high, n1 + 60) + 1):
-                least = min(least, slow(n, n2))
-                rows.append((n, n1, n2, least))
-    n, n1, n2 = (jaccard.F.col(c) for c in ("n", "n1", "n2"))
-    import pandas as pd
-
-    df = spark.createDataFrame(pd.DataFrame(rows, columns=["n", "n1", "n2", "least"]))
-    assert df.where(jaccard.least_shared_between(n, n1, n2, percent) != jaccard.F.col("least")).count() == 0
-
-
-def test_jaccard_meets_blocks_of_mixed_sizes(spark, tmp_path):
-    """13 and 14 tokens link with one shared prefix token, though 13 and 13, or 13 and 15, need two."""
-    rows = [(5, 1, 13, 1, 1, 0), (5, 2, 13, 2, 3, 0), (5, 3, 14, 2, 3, 0), (5, 4, 15, 2, 3, 0)]
-    df = spark.createDataFrame(rows, "t long, c long, n long, g long, m long, k int")
-    assert [tuple(r) for r in jaccard.met_blocks(df, str(tmp_path), 80).collect()] == [(1, 13, 2, 0)]
+def test_jaccard_word_hashes(spark):
+    """Long words in an order for which sums of powers modulo 2**64 agree are told apart; words don't depend on
+    what is around them, and very long texts are read whole."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    assert Counter(map(tuple, jaccard.similarity_components(frame(spark, [(1, one), (2, two)])).collect())) == {(1, 1, 1): 1, (2, 1, 2): 1}
+    rng = random.Random(4)
+    parts = ["x" * rng.randrange(1, 600) + str(rng.randrange(50)) for _ in range(300)] + [one[:256], two[:256], "É" * 7, "É" * 8]
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(0, 30))) for _ in range(40)] + ["\t".join(parts * 60)]
+    known = {}
+    for text, h in zip(texts, shingles_of.text_words(pa.array(texts)), strict=True):
+        assert len(h) == len(words(text))
+        for w, x in zip(words(text), h.tolist(), strict=True):
+            assert known.setdefault(w.lower(), x) == x
+    assert len(set(known.values())) == len(known)
+
+
+def test_jaccard_equal_class_hashes(spark, tmp_path):
+    """Classes that share half of their hash get ids of their own."""
+    df = spark.createDataFrame([(1, 5, 6), (2, 5, 7), (3, 5, 6), (4, 8, 6), (5, None, None)], "doc_id long, c long, c2 long")
+    got = {r["doc_id"]: r["c"] for r in jaccard.told_apart(df, f"file://{tmp_path}")(df).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == 8 and got[5] is None
 
 
 # ---------------------------------------------------------------- WARC
