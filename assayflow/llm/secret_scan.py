@@ -3,14 +3,16 @@
 Patterns find assignments, access keys and hex strings. Besides, every run of token characters that
 mixes letters and digits is a candidate of the narrowest character class it fits (hex, alnum,
 base64). A window of WINDOW characters slides over it; the sum of n*log2(n) over character counts
-is updated from the counts of the entering and the leaving character only, and the entropy of the
+is updated from the counts of the entering and the leaving character, which are then changed in
+place, and the entropy of the
 window is log2(WINDOW) - sum / WINDOW. A candidate is a secret if any window reaches its class's
 threshold and no allow-list pattern fits it. The logarithms are integers of a fixed table, so that
 results don't depend on the order of additions.
 
 Spans are (start, end, kind) in code points, end exclusive. Nothing is shuffled and no text is
-exploded. Defined cases: null and empty texts have no spans; repeated rows are scanned each on
-their own; empty table, empty result; further input columns are ignored.
+exploded. Defined cases: null and empty texts have no spans; very long texts are scanned whole, in the
+memory of the text; spans of equal start are ordered by kind; repeated rows are scanned each on their
+own; empty table, empty result; further input columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,11 @@ HEX = "[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+#: Counts are packed: a count of up to WINDOW takes CELL_BITS bits, CELLS of them make a number.
+CELL_BITS = WINDOW.bit_length()
+CELLS = 60 // CELL_BITS
 #: Bits of entropy that a window must reach, by character class.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
 #: Candidates that one of these finds are no secrets.
@@ -75,33 +81,43 @@ def found(text: Column, pattern: str, kind: int) -> Column:
 
 
 def lowest_sum(s: Column) -> Column:
-    """Over the windows of a string, the least sum of n*log2(n) of character counts."""
+    """Over the windows of a string of SYMBOLS, the least sum of n*log2(n) of character counts. The
+    accumulator holds the window's count of every symbol, CELL_BITS bits each, CELLS to a number; a step
+    changes the cells of the entering and of the leaving character."""
     table = F.array(*[F.lit(x).cast("long") for x in NLOGN])
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    gone = F.concat(F.array_repeat(F.lit(-1), WINDOW), codes)
 
     def f(n: Column) -> Column:
-        return F.element_at(table, n + 1)
-
-    def count(win: Column, c: Column) -> Column:
-        return F.size(F.filter(win, lambda x: x == c))
-
-    def step(acc: Column, c: Column) -> Column:
-        win = acc["win"]
-        full = F.size(win) >= WINDOW
-        rest = F.when(full, F.slice(win, 2, WINDOW - 1)).otherwise(win)
-        gone = count(win, F.element_at(win, 1))
-        less = F.when(full, f(gone - 1) - f(gone)).otherwise(F.lit(0).cast("long"))
-        had = count(rest, c)
-        total = acc["sum"] + less + f(had + 1) - f(had)
+        return F.element_at(table, n.cast("int") + 1)
+
+    def cell(counts: Column, code: Column) -> Column:
+        number = F.element_at(counts, F.floor(code / CELLS).cast("int") + 1)
+        return F.call_function("shiftright", number, CELL_BITS * F.pmod(code, F.lit(CELLS))).bitwiseAND(F.lit((1 << CELL_BITS) - 1))
+
+    def at(code: Column, slot: Column) -> Column:
+        here = F.floor(code / CELLS) == slot
+        return F.when(here, F.call_function("shiftleft", F.lit(1).cast("long"), CELL_BITS * F.pmod(code, F.lit(CELLS)))).otherwise(F.lit(0).cast("long"))
+
+    def step(acc: Column, x: Column) -> Column:
+        counts, enter, leave = acc["counts"], x["enter"], x["leave"]
+        full = leave >= 0
+        had = F.when(full, cell(counts, F.greatest(leave, F.lit(0))))
+        less = F.when(full, f(had - 1) - f(had)).otherwise(F.lit(0).cast("long"))
+        before = cell(counts, enter) - F.when(leave == enter, 1).otherwise(0)
+        total = acc["sum"] + less + f(before + 1) - f(before)
+        now = F.transform(counts, lambda c, slot: c + at(enter, slot) - F.when(full, at(leave, slot)).otherwise(F.lit(0).cast("long")))
         return F.struct(
-            F.concat(rest, F.array(c)).alias("win"),
-            total.alias("sum"),
-            F.when(F.size(win) >= WINDOW - 1, F.least(acc["low"], total)).otherwise(acc["low"]).alias("low"),
-        )
+            now.alias("counts"), total.alias("sum"), (acc["n"] + 1).alias("n"),
+            F.when(acc["n"] >= WINDOW - 1, F.least(acc["low"], total)).otherwise(acc["low"]).alias("low"),
+        )
 
     start = F.struct(
-        F.array().cast("array<string>").alias("win"), F.lit(0).cast("long").alias("sum"), F.lit(2**62).alias("low")
-    )
-    return F.aggregate(F.split(s, ""), start, step, lambda acc: acc["low"])
+        F.array_repeat(F.lit(0).cast("long"), -(-len(SYMBOLS) // CELLS)).alias("counts"),
+        F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.lit(2**62).alias("low"),
+    )
+    steps = F.zip_with(codes, F.slice(gone, 1, F.size(codes)), lambda e, g: F.struct(e.alias("enter"), g.alias("leave")))
+    return F.aggregate(steps, start, step, lambda acc: acc["low"])
 
 
 def high_entropy(s: Column) -> Column:
