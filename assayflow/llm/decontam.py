@@ -1,18 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-Texts are lower-cased runs of letters and digits. A mask names the token positions that a seed
-hashes and so ignores the others. MASKS are chosen so that of any SPAN aligned tokens with at most
-MISSES substitutions at least one placement of one mask avoids all substitutions: the seeds find
-every such overlap. Around each hit the two texts are compared token by token on the hit's diagonal;
-an overlap counts if SPAN aligned tokens around the hit have at most MISSES differences.
-
-Items of fewer than SPAN tokens must occur whole and unchanged; items of fewer than MIN_ITEM tokens
-are never matched. Seeds of the benchmark are broadcast in blocks of at most BLOCK tokens (items are
-cut into overlapping segments), one pass over the documents for each block, so a broadcast stays
-small whatever the benchmark's size. Documents are not shuffled; hits are summed up before the only
-shuffle.
-
-Defined cases: null and empty texts have no tokens and no hits; rows that share a doc_id are reported
+Texts are lower-cased runs of letters and digits; scripts written without spaces give a token for each
+character. A mask names the token positions that a seed hashes and so ignores the others. MASKS are
+chosen so that of any SPAN aligned tokens with at most MISSES substitutions at least one placement of
+one mask avoids all substitutions: the seeds find every such overlap. Around each hit the two texts
+are compared token by token on the hit's diagonal; an overlap counts if SPAN aligned tokens around
+the hit have at most MISSES differences.
+
+Items of fewer than SPAN tokens must occur whole: with at most one substitution from ONE_MISS tokens on
+(their masks are the even and the odd positions, one of which a substitution leaves alone), unchanged
+below. Items of fewer than min_item tokens (a parameter, by default none) are left out.
+
+Seeds of the benchmark are broadcast in blocks of at most `block` tokens (items are cut into overlapping
+segments), one pass over the documents for each block, so a broadcast stays small whatever the
+benchmark's size. A benchmark of more than `passes` blocks is joined by a shuffle of seeds instead; the
+result is the same. Documents' texts are not shuffled; hits are summed up before they are.
+
+Defined cases: null and empty texts have no tokens and no hits; very long texts are compared whole; an
+overlap that several seeds find counts each of them as a hit; rows that share a doc_id are reported
 together; repeated items of one item_id likewise; empty tables, empty result; further columns are
 ignored.
 """
@@ -27,15 +32,19 @@ from .common import fresh, keyed
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 SPAN = 13
 MISSES = 2
-MIN_ITEM = 5
+ONE_MISS = 7
 REACH = max(m[-1] for m in MASKS) + 1
 SEGMENT = 4096
 OVERLAP = 32
 BLOCK = 200_000
+PASSES = 4
+#: Scripts that don't part words by spaces.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    apart = F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+    return F.filter(F.split(F.lower(apart), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def hashed(text: Column) -> Column:
@@ -54,12 +63,12 @@ def seeds_of(rows: DataFrame, masks: list[tuple[int, ...]], h: str, pos: str) ->
     return rows.select("*", F.posexplode(h).alias(pos, "_")).select(*cols, pos, F.inline(each))
 
 
-def segments(items: DataFrame) -> DataFrame:
+def segments(items: DataFrame, min_item: int) -> DataFrame:
     """item_id, n (tokens of the item), seg (hash of id, text and start), g (token hashes)."""
     rows = items.where("text is not null").select(
         "item_id", F.xxhash64("item_id", "text").alias("k"), hashed(F.col("text")).alias("h")
     )
-    rows = rows.select("*", F.size("h").alias("n")).where(F.col("n") >= MIN_ITEM)
+    rows = rows.select("*", F.size("h").alias("n")).where(F.col("n") >= max(1, min_item))
     starts = F.sequence(F.lit(0), F.greatest(F.col("n") - OVERLAP, F.lit(0)), F.lit(SEGMENT - OVERLAP))
     cut = rows.select("item_id", "k", "n", "h", F.explode(starts).alias("s"))
     return cut.select(
@@ -67,44 +76,65 @@ def segments(items: DataFrame) -> DataFrame:
     ).dropDuplicates(["seg"])
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item of n tokens that must occur whole."""
+    return [tuple(range(0, n, 2)), tuple(range(1, n, 2))] if n >= ONE_MISS else [tuple(range(n))]
+
+
 def find_overlaps(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", masks: tuple[tuple[int, ...], ...] = MASKS, span: int = SPAN, misses: int = MISSES,
-    block: int = BLOCK,
+    block: int = BLOCK, passes: int = PASSES, min_item: int = 1,
 ) -> DataFrame:
-    """doc_id, item_id, matched (most equal tokens among span aligned ones, or the item's length),
-    n_hits (seed hits on accepted overlaps)."""
-    known = segments(keyed(items, item_id=item_col, text=item_text_col))
-    size = known.agg(F.sum(F.size("g")).alias("n"), F.collect_set(F.when(F.col("n") < REACH, F.col("n"))).alias("short")).first()
+    """doc_id, item_id, matched (most equal tokens among span aligned ones, or among those of a shorter
+    item), n_hits (seed hits on accepted overlaps)."""
+    known = segments(keyed(items, item_id=item_col, text=item_text_col), min_item)
+    size = known.agg(F.sum(F.size("g")).alias("n"), F.collect_set(F.when(F.col("n") < span, F.col("n"))).alias("short")).first()
     blocks = max(1, -(-(size["n"] or 0) // block))
-    every = [*masks, *[tuple(range(n)) for n in sorted(size["short"])]]  # a short item is a seed of its own
+    # Masks, each with the length of the items it is for (0: those of span tokens and more).
+    every = [(0, m) for m in masks] + [(n, m) for n in sorted(size["short"]) for m in short_masks(n)]
     rows = keyed(docs, doc_id=id_col, text=text_col).where("text is not null")
     rows = rows.select("doc_id", hashed(F.col("text")).alias("h"))
-    places = seeds_of(rows, every, "h", "p")
-    found = None
-    for b in range(blocks):
-        own = known.where(F.pmod("seg", F.lit(blocks)) == b) if blocks > 1 else known
-        part = hits_on(places, own, every, len(masks), span, misses)
-        found = part if found is None else found.unionAll(part)
-    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.count("*").alias("n_hits"))
-
-
-def hits_on(places: DataFrame, own: DataFrame, every: list, long_masks: int, span: int, misses: int) -> DataFrame:
-    """Accepted hits of the documents' seeds on one block of segments."""
-    dims = own.select(F.col("seg").alias("seg2"), "item_id", "n", "g")
-    fits = F.when(F.col("n") >= REACH, F.col("mask") < long_masks)
-    for k, m in enumerate(every[long_masks:], long_masks):
-        fits = fits.when(F.col("n") == len(m), (F.col("mask") == k) & (F.col("q") == 0))
-    seeds = seeds_of(own.select("seg", "n", "g"), every, "g", "q").where(fits)
-    whole = F.lit(True)  # a seed lies within its segment
-    for k, m in enumerate(every):
-        whole = whole & ((F.col("mask") != k) | (F.col("q") + m[-1] < F.size("g")))
-    seeds = seeds.where(whole).select(F.col("seed").alias("seed2"), "seg", "q")
-    hits = places.join(F.broadcast(seeds), F.col("seed") == F.col("seed2")).join(
-        F.broadcast(dims), F.col("seg") == F.col("seg2")
+    if blocks > passes:
+        hits = shuffled_hits(keyed(docs, doc_id=id_col, text=text_col), known, every, span)
+    else:
+        places, hits = seeds_of(rows, [m for _, m in every], "h", "p"), None
+        for b in range(blocks):
+            own = known.where(F.pmod("seg", F.lit(blocks)) == b) if blocks > 1 else known
+            seeds, dims = item_seeds(own, every, span), own.select(F.col("seg").alias("seg2"), "item_id", "n", "g")
+            part = places.join(F.broadcast(seeds), F.col("seed") == F.col("seed2")).join(
+                F.broadcast(dims), F.col("seg") == F.col("seg2")
+            )
+            part = part.select("doc_id", "item_id", "n", matched_around(span).alias("matched"))
+            hits = part if hits is None else hits.unionAll(part)
+    least = F.when(F.col("n") >= span, span - misses).otherwise(F.col("n") - F.when(F.col("n") >= ONE_MISS, 1).otherwise(0))
+    return hits.where(F.col("matched") >= least).groupBy("doc_id", "item_id").agg(
+        F.max("matched").alias("matched"), F.count("*").alias("n_hits")
     )
-    hits = hits.select("doc_id", "item_id", "n", matched_around(span).alias("matched"))
-    return hits.where(F.col("matched") >= F.when(F.col("n") >= span, span - misses).otherwise(F.col("n"))).drop("n")
+
+
+def item_seeds(own: DataFrame, every: list, span: int) -> DataFrame:
+    """seed2, seg, q of the segments' seeds: each mask on the items it is for, within the segment."""
+    fits = F.lit(False)
+    for k, (n, m) in enumerate(every):
+        this = (F.col("n") == n) & (F.col("q") == 0) if n else F.col("n") >= span
+        fits = fits | ((F.col("mask") == k) & this & (F.col("q") + m[-1] < F.size("g")))
+    seeds = seeds_of(own.select("seg", "n", "g"), [m for _, m in every], "g", "q").where(fits)
+    return seeds.select(F.col("seed").alias("seed2"), "seg", "q")
+
+
+def shuffled_hits(rows: DataFrame, known: DataFrame, every: list, span: int) -> DataFrame:
+    """doc_id, item_id, n, matched of all seed hits, for a benchmark of any size. Seeds travel without
+    texts; the tokens around a hit are looked up afterwards, by row (a hash of id and text: equal rows
+    are looked up once) and by segment."""
+    texts = rows.where("text is not null").withColumn("r", F.xxhash64("doc_id", "text"))
+    texts = texts.select("doc_id", "r", hashed(F.col("text")).alias("h"))
+    places = seeds_of(texts.select("r", "h"), [m for _, m in every], "h", "p").select("r", "p", "seed")
+    hits = places.join(item_seeds(known, every, span), F.col("seed") == F.col("seed2")).select("r", "p", "seg", "q")
+    some = texts.join(hits.select("r").distinct(), "r", "left_semi").groupBy("r").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"))
+    # Rows equal in id and text have each hit as often as there are such rows already.
+    found = hits.join(some, "r").join(known.select("seg", "item_id", "n", "g"), "seg")
+    return found.select("doc_id", "item_id", "n", matched_around(span).alias("matched"))
 
 
 def matched_around(span: int) -> Column:

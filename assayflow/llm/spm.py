@@ -1,25 +1,28 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The pieces and scores come from a model file; the segmentation is the one with the greatest sum of
-scores, ties going to the path whose last piece is longer, as the reference library's unigram search
-has them. (A BPE model file gives the same pieces, with its merge ranks as scores; ids then differ
-from its merge order, and decode alike.)
+The pieces come from a model file; the segmentation is the one with the greatest sum of scores, ties
+going to the path whose last piece is longer, as the reference library's unigram search has them. A
+unigram model's scores are its log probabilities. A BPE model has merge ranks, which don't add up;
+its pieces are scored by Zipf's law, log(1 / (rank * H)) with H the sum of 1 / rank, in steps of
+1/256 so that sums are exact. Ids then differ from its merge order, and decode alike.
 
 A position's outcome only depends on the positions up to the longest piece before it, so the search
 keeps scores for that window, and backpointers from the last boundary on which all surviving paths
 agree; ids up to there are committed at once. No piece holds a space mark after another character or
-a line end, so all paths meet at word starts and line ends; the ids between two such boundaries are
-remembered in a bounded table.
+a line end, so all paths meet at word starts and line ends, and the search there is as at its start:
+what it gave for a word of at most 64 characters is remembered in a bounded table.
 
 Characters without a piece become byte pieces. The space mark itself (U+2581) in a text is written
 in byte pieces too, so that decode(encode(text)) == text for every text.
 
-Defined cases: null gives null ids and decodes to null; an empty text has no ids; repeated rows are
-encoded each on their own; empty table, empty result; further columns are ignored.
+Defined cases: null gives null ids and decodes to null; an empty text has no ids; a very long text, or
+word, is searched in the same window; repeated rows are encoded each on their own; empty table,
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -37,6 +40,18 @@ UNKNOWN_PENALTY = 10.0
 REMEMBERED = 400_000
 # Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+BPE = 2
+
+
+def zipf_scores(scores: list[float]) -> list[float]:
+    """Log probabilities of pieces that are known by rank alone (best score first, then first in the
+    model), in steps of 1/256."""
+    order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
+    total = math.log(sum(1 / r for r in range(1, len(order) + 1))) if order else 0.0
+    out = [0.0] * len(order)
+    for rank, i in enumerate(order, 1):
+        out[i] = -round(256 * (math.log(rank) + total)) / 256
+    return out
 
 
 @dataclass(frozen=True, eq=False)
@@ -60,9 +75,14 @@ class Pieces:
         norm = model.normalizer_spec
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or any(p.type == USER_DEFINED for p in model.pieces):
             raise ValueError("only models with identity normalisation and without user-defined pieces")
+        scores = [p.score for p in model.pieces]
+        if model.trainer_spec.model_type == BPE:
+            normal = [i for i, p in enumerate(model.pieces) if p.type == NORMAL]
+            for i, score in zip(normal, zipf_scores([scores[i] for i in normal]), strict=True):
+                scores[i] = score
         return Pieces(
             tuple(p.piece for p in model.pieces),
-            tuple(p.score for p in model.pieces),
+            tuple(scores),
             tuple(p.type for p in model.pieces),
             norm.add_dummy_prefix,
         )
@@ -73,7 +93,8 @@ class Tables:
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.trie: dict = {}
+        #: By character: the pieces that go on with it, and the id (-1: none) and score of what it ends.
+        self.trie: dict[str, list] = {}
         self.longest = 1
         self.byte: dict[int, int] = {}
         self.unknown = pieces.kind.index(UNKNOWN)
@@ -82,13 +103,15 @@ class Tables:
             if kind == BYTE:
                 self.byte[int(text[3:5], 16)] = i
             elif kind == NORMAL:
-                node = self.trie
+                node, last = self.trie, None
                 for ch in text:
-                    node = node.setdefault(ch, {})
-                node[""] = (i, score)
+                    last = node.setdefault(ch, [{}, -1, 0.0])
+                    node = last[0]
+                last[1:] = i, score
                 self.longest = max(self.longest, len(text))
                 scores.append(score)
         self.unknown_score = min(scores) - UNKNOWN_PENALTY
+        self.single = {ch for ch, step in self.trie.items() if step[1] >= 0}
         bad = [t for t, k in zip(pieces.text, pieces.kind, strict=True) if k == NORMAL and (SPACE in t.lstrip(SPACE) or "\n" in t)]
         #: Where all paths meet: spaces before a word, and around line ends.
         self.split = re.compile(f"{SPACE}| *[^ \n{SPACE}]+| +|\n") if not bad else re.compile(f"{SPACE}|[^{SPACE}]+")
@@ -104,74 +127,48 @@ class Tables:
 
 
 class _Known(dict):
-    """Ids of the words between two boundaries, found on demand and kept within REMEMBERED."""
+    """What the search gave for the words between two boundaries, within REMEMBERED words."""
 
     def __init__(self, tables: Tables) -> None:
         super().__init__()
         self.tables = tables
+        self.search = Viterbi(tables)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if word == SPACE:
             ids = tuple(self.tables.bytes_ids(SPACE))
-        elif len(word) <= 64:
-            ids = best_path(self.tables, word.replace(" ", SPACE))
         else:
-            search = Viterbi(self.tables)
-            ids = (*search.feed(word.replace(" ", SPACE)), *search.end())
-        if len(self) >= REMEMBERED:
-            self.clear()
+            ids = (*self.search.feed(word.replace(" ", SPACE)), *self.search.end())
         if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
             self[word] = ids
         return ids
 
 
-def best_path(tables: Tables, text: str) -> tuple[int, ...]:
-    """The search over a text that is held whole: the same steps as Viterbi's, without commits."""
-    n, longest, trie, none = len(text), tables.longest, tables.trie, float("-inf")
-    best, start, piece = [none] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-    best[0] = 0.0
-    for at in range(n):
-        here = best[at]
-        if here == none:
-            continue
-        node, single, end = trie, False, at
-        for ch in text[at : at + longest]:
-            node = node.get(ch)
-            if node is None:
-                break
-            end += 1
-            found = node.get("")
-            if found is not None:
-                single = single or end == at + 1
-                score = here + found[1]
-                if score > best[end]:
-                    best[end], start[end], piece[end] = score, at, found[0]
-        if not single:
-            score = here + tables.unknown_score
-            if score > best[at + 1]:
-                best[at + 1], start[at + 1], piece[at + 1] = score, at, tables.unknown
-    path, at = [], n
-    while at:
-        i, before = piece[at], start[at]
-        path.append(tables.bytes_ids(text[before]) if i == tables.unknown else (i,))
-        at = before
-    return tuple(chain.from_iterable(reversed(path)))
+_NONE = float("-inf")
 
 
 class Viterbi:
-    """feed() characters (spaces already marked), then end(); both give ids that are certain."""
+    """feed() characters (spaces already marked), then end(); both give ids that are certain. After
+    end() it is as new."""
 
     def __init__(self, tables: Tables) -> None:
         self.t = tables
         self.text = ""  # characters from the last committed boundary on
         self.at = 0  # start position that is searched next, counted from there
-        self.best: list[float | None] = [0.0]
-        self.back: list[tuple[int, int] | None] = [None]
+        # Of the best path to each position: its score, and the start and id of its last piece.
+        self.best: list[float] = [0.0]
+        self.start: list[int] = [0]
+        self.piece: list[int] = [0]
         self.check = tables.longest
 
     def feed(self, more: str) -> list[int]:
         self.text += more
-        return self._search(len(self.text) - self.t.longest)
+        self.best += [_NONE] * len(more)
+        self.start += [0] * len(more)
+        self.piece += [0] * len(more)
+        return self._search(len(self.text) - self.t.longest) if len(self.text) >= self.t.longest else []
 
     def end(self) -> list[int]:
         out = self._search(len(self.text) - 1)
@@ -180,57 +177,61 @@ class Viterbi:
     def _search(self, last: int) -> list[int]:
         """Extend the paths from all positions up to last."""
         out: list[int] = []
-        unknown, unknown_score, trie = self.t.unknown, self.t.unknown_score, self.t.trie
+        longest, trie, single = self.t.longest, self.t.trie, self.t.single
+        unknown, unknown_score = self.t.unknown, self.t.unknown_score
         while self.at <= last:
-            at, text, best, back = self.at, self.text, self.best, self.back
-            while len(best) <= min(len(text), at + self.t.longest):
-                best.append(None)
-                back.append(None)
-            here = best[at]
-            if here is not None:
-                node, single = trie, False
-                for end in range(at + 1, min(len(text), at + self.t.longest) + 1):
-                    node = node.get(text[end - 1])
-                    if node is None:
+            text, best, start, piece = self.text, self.best, self.start, self.piece
+            until = min(last + 1, max(self.check, self.at + 1))
+            for at in range(self.at, until):
+                here = best[at]
+                if here == _NONE:
+                    continue
+                node, end = trie, at
+                for ch in text[at : at + longest]:
+                    step = node.get(ch)
+                    if step is None:
                         break
-                    if piece := node.get(""):
-                        single |= end == at + 1
-                        score = here + piece[1]
-                        if best[end] is None or score > best[end]:
-                            best[end], back[end] = score, (at, piece[0])
-                if not single:
+                    node, i, score = step
+                    end += 1
+                    if i >= 0:
+                        score += here
+                        if score > best[end]:
+                            best[end], start[end], piece[end] = score, at, i
+                if text[at] not in single:
                     score = here + unknown_score
-                    if best[at + 1] is None or score > best[at + 1]:
-                        best[at + 1], back[at + 1] = score, (at, unknown)
-            self.at += 1
-            if self.at >= self.check:
+                    if score > best[at + 1]:
+                        best[at + 1], start[at + 1], piece[at + 1] = score, at, unknown
+            self.at = until
+            if until >= self.check:
                 meet = self._meeting()
                 if meet:
                     out += self._commit(meet)
                     last -= meet
-                self.check = self.at + max(self.t.longest, self.at)
+                self.check = self.at + max(longest, self.at)
         return out
 
     def _meeting(self) -> int:
         """The last boundary that the paths to all reached positions from `at` on share."""
-        ends = {e for e in range(self.at, len(self.best)) if self.best[e] is not None}
+        ends = {e for e in range(self.at, min(len(self.best), self.at + self.t.longest)) if self.best[e] != _NONE}
         while len(ends) > 1:
             top = max(ends)
             ends.remove(top)
-            ends.add(self.back[top][0])
+            ends.add(self.start[top])
         return ends.pop()
 
     def _commit(self, end: int) -> list[int]:
         """Ids of the path to a boundary; the search goes on as if it were the start."""
         path, at = [], end
         while at:
-            before, i = self.back[at]
+            i, before = self.piece[at], self.start[at]
             path.append(self.t.bytes_ids(self.text[before]) if i == self.t.unknown else (i,))
             at = before
-        base = self.best[end] or 0.0
+        base = self.best[end]
         self.text, self.at = self.text[end:], max(0, self.at - end)
-        self.best = [None if b is None else b - base for b in self.best[end:]] or [0.0]
-        self.back = [None, *((b[0] - end, b[1]) if b else None for b in self.back[end + 1 :])]
+        self.best = [b - base for b in self.best[end:]]
+        self.start = [x - end for x in self.start[end:]]
+        self.piece = self.piece[end:]
+        self.check = self.t.longest
         return list(chain.from_iterable(reversed(path)))
 
 

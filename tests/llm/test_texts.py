@@ -175,8 +175,8 @@ def unigram(tmp_path_factory):
     with open(TOKENIZER, "rb") as f:
         model.ParseFromString(f.read())
     model.trainer_spec.model_type = proto.TrainerSpec.UNIGRAM
-    for p in model.pieces:
-        p.score = max(p.score, -40000.0)  # the library adds 32-bit floats
+    for p, score in zip(model.pieces, spm.Pieces.load(TOKENIZER).score, strict=True):
+        p.score = score
     path = tmp_path_factory.mktemp("model") / "unigram.model"
     path.write_bytes(model.SerializeToString())
     return sentencepiece.SentencePieceProcessor(model_file=str(path)), spm.Tables(spm.Pieces.load(str(path)))
@@ -215,6 +215,19 @@ def test_sentencepiece_commits_early(unigram):
     assert given and most < 200
 
 
+def test_sentencepiece_ids_come_from_the_streaming_search(unigram, monkeypatch):
+    """All ids of a text are what feed() and end() give; longer words only pass through the window."""
+    _, tables = unigram
+    tables.known.clear()
+    given = []
+    feed, end = spm.Viterbi.feed, spm.Viterbi.end
+    monkeypatch.setattr(spm.Viterbi, "feed", lambda self, more: given.append(x := feed(self, more)) or x)
+    monkeypatch.setattr(spm.Viterbi, "end", lambda self: given.append(x := end(self)) or x)
+    text = "every word once: " + "ab" * 300 + "thething" * 40
+    assert spm.encode(tables, text) == [i for x in given for i in x]
+    assert sum(map(len, given[:-1])) > 100
+
+
 def test_sentencepiece_documents(spark):
     pieces = spm.Pieces.load(TOKENIZER)
     docs = frame(spark, [(1, None), (2, ""), (3, "Hello  world\n▁"), (3, "Hello  world\n▁"), (None, "z" * 5000)])
@@ -229,10 +242,13 @@ def test_sentencepiece_documents(spark):
 # ---------------------------------------------------------------- decontamination
 
 
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+
+
 def plain(text):
     import regex
 
-    return [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
+    return [w for w in regex.split(r"[^\p{L}\p{N}]+", regex.sub(UNSPACED, r" \1 ", (text or "").lower())) if w]
 
 
 def slow_overlaps(docs, items):
@@ -241,10 +257,8 @@ def slow_overlaps(docs, items):
         d = plain(t)
         for j, u in items:
             g = plain(u)
-            if len(g) < decontam.MIN_ITEM:
-                continue
-            size, least = (13, 11) if len(g) >= 13 else (len(g), len(g))
-            if any(
+            size, least = (13, 11) if len(g) >= 13 else (len(g), len(g) - (len(g) >= 7))
+            if g and any(
                 sum(a == b for a, b in zip(d[p : p + size], g[q : q + size], strict=True)) >= least
                 for q in range(len(g) - size + 1)
                 for p in range(len(d) - size + 1)
@@ -262,11 +276,11 @@ def test_masks_miss_nothing():
         ), gone
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK, 60])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("block, passes", [(decontam.BLOCK, decontam.PASSES), (60, 100), (60, 0)])
+def test_decontamination(spark, block, passes):
     rng = random.Random(11)
     items = [(j, " ".join(some_words(rng, rng.choice([3, 5, 6, 8, 9, 12, 13, 20, 45])))) for j in range(25)]
-    items += [(50, None), (51, ""), (52, "Same, SAME same same same same same")]
+    items += [(50, None), (51, ""), (52, "Same, SAME same same same same same"), (53, "漢字は語を分けない"), (54, "only"), (54, "only")]
     docs = []
     for i in range(60):
         body = some_words(rng, 40)
@@ -277,7 +291,11 @@ def test_decontamination(spark, block):
                 part[rng.randrange(len(part))] = "changed"
         docs.append((i, " ".join([*body[:20], *part, *body[20:]]).upper()))
     docs += [(90, None), (91, ""), (92, "same " * 30), (92, "w1"), (None, items[8][1] + " " + items[7][1])]
-    got = decontam.find_overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block=block)
+    docs += [(93, "x漢字は語を分けるない 漢字が語を分けない"), (94, "漢字漢字"), (95, "the only one"), (95, "the only one")]
+    got = decontam.find_overlaps(
+        frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block=block, passes=passes
+    )
+    assert {r.n_hits for r in got.collect() if (r.doc_id, r.item_id) == (95, 54)} == {2}
     assert {(r.doc_id, r.item_id) for r in got.collect()} == slow_overlaps(docs, items)
     assert got.count() > 20
     plan = got._jdf.queryExecution().executedPlan().toString()
@@ -288,6 +306,20 @@ def test_decontamination(spark, block):
     assert sorted(map(str, (r.text for r in left.collect()))) == sorted(str(t) for _, t in docs if t not in hit)
 
 
+def test_short_items(spark):
+    """Items of fewer than 13 tokens: one substitution from seven tokens on, none below; min_item leaves items out."""
+    items = spark.createDataFrame([(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (1, 3, 6, 7, 12)], "item_id long, text string")
+    docs = []
+    for n in (1, 3, 6, 7, 12):
+        own = [f"i{n}w{k}" for k in range(n)]
+        docs.append((100 * n, " ".join(["a", *own, "b"])))
+        docs += [(100 * n + 1 + k, " ".join(["a", *own[:k], "z", *own[k + 1 :], "b"])) for k in range(n)]
+        docs.append((100 * n + 50, " ".join(["a", "z", *own[1:-1], "z", "b"])))
+    got = {(r.doc_id, r.item_id) for r in decontam.find_overlaps(frame(spark, docs), items).collect()}
+    assert got == {(100 * n, n) for n in (1, 3, 6, 7, 12)} | {(100 * n + 1 + k, n) for n in (7, 12) for k in range(n)}
+    assert {j for _, j in ((r.doc_id, r.item_id) for r in decontam.find_overlaps(frame(spark, docs), items, min_item=5).collect())} == {6, 7, 12}
+
+
 def test_long_items_are_cut(spark, monkeypatch):
     monkeypatch.setattr(decontam, "SEGMENT", 64)
     rng = random.Random(2)
