@@ -37,6 +37,9 @@ from .common import arrow_rows, keyed, rows_of, ship
 UNKNOWN = "und"
 PROFILE = 300
 TRAIN_DOCS = 1000
+#: More languages than this are an error: profiles are held on the driver and sent to every task.
+MOST_LANGS = 1000
+DEALT = 16
 FOLDS = 5
 MIN_SCORE = 0.3
 MIN_GRAMS = 60
@@ -96,10 +99,12 @@ class Profiles:
     def predict(self, text: str | None) -> tuple[str, float]:
         return self.nearest(self.own(text))
 
-    def accepts(self, text: str | None, min_score: float = MIN_SCORE) -> bool:
+    def accepted(self, text: str | None, min_score: float = MIN_SCORE) -> str | None:
+        """The language of a text that scores enough, else None."""
         own = self.own(text)
         lang, score = self.nearest(own)
-        return lang != UNKNOWN and score >= (min_score if len(own) >= MIN_GRAMS else min(min_score, SHORT_SCORE))
+        enough = min_score if len(own) >= MIN_GRAMS else min(min_score, SHORT_SCORE)
+        return lang if lang != UNKNOWN and score >= enough else None
 
     def own(self, text: str | None) -> np.ndarray:
         return ranking(text, self.size) if text and self.langs else np.empty(0, np.int64)
@@ -116,18 +121,26 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == 0
 
 
+def first_of_each(rows: DataFrame, key: str, order: list, spread: Column, most: int) -> DataFrame:
+    """The first `most` rows of each key: first within DEALT parts of a key, then among what is left of it, so
+    that no task gets a frequent key's rows together."""
+    part = F.pmod(spread, F.lit(DEALT))
+    for own in ([F.col(key), part], [F.col(key)]):
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).where(F.col("place") <= most)
+    return rows.drop("place")
+
+
 def learn_profiles(
     docs: DataFrame, size: int = PROFILE, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang",
 ) -> Profiles:
-    """Profiles from the training folds. Sample ids are ranked without their texts (each task keeps
-    train_docs a language before the shuffle) and broadcast, at most train_docs a language; n-gram
-    counts are summed in the tasks first, and `size` n-grams a language reach the driver."""
+    """Profiles from the training folds. Sample ids are ranked without their texts, at most train_docs a
+    language; n-gram counts are summed in the tasks first, and `size` n-grams a language reach the
+    driver."""
     src = keyed(docs, doc_id=id_col, text=text_col, lang=lang_col)
-    ids = src.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_docs)
-    chosen = F.broadcast(sample.select(F.col("doc_id").alias("i"), F.col("lang").alias("l")).distinct())
+    ids = src.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    sample = first_of_each(ids, "lang", ["h", "doc_id"], F.xxhash64("doc_id", F.lit(1)), train_docs)
+    chosen = sample.select(F.col("doc_id").alias("i"), F.col("lang").alias("l")).distinct()
     train = src.join(chosen, (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l")), "left_semi")
     ship(docs.sparkSession)
 
@@ -151,9 +164,12 @@ def learn_profiles(
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     ranked: dict[str, list[int]] = {}
-    for r in sums.withColumn("k", F.row_number().over(top)).where(F.col("k") <= size).orderBy("lang", "k").collect():
+    best = first_of_each(sums, "lang", [F.desc("n"), "gram"], F.xxhash64("gram"), size)
+    found = best.orderBy("lang", F.desc("n"), "gram").limit(MOST_LANGS * size + 1).collect()
+    if len(found) > MOST_LANGS * size:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    for r in found:
         ranked.setdefault(r["lang"], []).append(r["gram"])
     return Profiles(ranked, size)
 
@@ -176,18 +192,27 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return arrow_rows(src, run, schema, f"doc_id {kind.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, profiles: Profiles, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
-    """Input rows, all columns unchanged, whose text has a language with at least min_score (SHORT_SCORE
-    for very short texts)."""
+def keep_identified(
+    docs: DataFrame, profiles: Profiles, min_score: float = MIN_SCORE, text_col: str = "text",
+    langs: tuple[str, ...] | None = None, label_col: str | None = None,
+) -> DataFrame:
+    """Input rows whose text has a language (one of langs, if given) with at least min_score (SHORT_SCORE
+    for very short texts). Columns stay as they are, but that label_col, if given, becomes the
+    language found."""
     schema = docs.schema
     at = schema.names.index(text_col)
+    label = None if label_col is None else schema.names.index(label_col)
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            found: list[str | None] = []
             for start in range(0, batch.num_rows, 512):
-                keep += [profiles.accepts(text, min_score) for text in batch.column(at).slice(start, 512).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                for text in batch.column(at).slice(start, 512).to_pylist():
+                    lang = profiles.accepted(text, min_score)
+                    found.append(lang if langs is None or lang in langs else None)
+            if label is not None:
+                batch = batch.set_column(label, batch.schema.field(label), pa.array(found, batch.schema.field(label).type))
+            yield batch.filter(pa.array([x is not None for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
