@@ -5,7 +5,9 @@ within partitions), so a conversation of any length takes the memory of one wind
 prefix sum of turn tokens decides how far a window reaches. Every window opens with the
 conversation's first turn if that is a system turn, then repeats the last turns of the window
 before, within a budget of their own; repeated turns carry no loss, so each assistant text is a
-target once.
+target once. Tokens are those of a turn as it is written, marks and escapes included: counted by a
+tokenizer model (op6's search), or bounded by the number of bytes where none is given. A line end
+closes every turn and no piece goes beyond one, so a window has no more tokens than its turns.
 
 Template: <|turn|>role, newline, text, <|end|>, newline. In texts a backslash is doubled, and a
 backslash is put behind the first character of anything that opens a control string of this or of
@@ -13,7 +15,9 @@ other common templates; unescape() undoes both exactly.
 
 Defined cases: null text and null role are empty; rows of equal turn are ordered by role, then
 text, and repeated rows all stay; rows of null conversation form one conversation; a turn over the
-budget has a window of its own, whole; empty table, empty result; further columns are ignored.
+budget has a window of its own, whole, and a very long text stays one turn; empty table, empty result;
+further columns are ignored. A conversation's digest is sequential, so it is read by one task, in the
+memory of one window.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, rows_of, ship
+from .spm import Pieces, encode, tables_for
 
 OPEN, END = "<|turn|>", "<|end|>\n"
 # Control strings of common templates, which texts may not spell.
@@ -45,9 +50,9 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: {"\\": "\\", "n": "\n", None: ""}[m[1]], text)
 
 
-def estimate_tokens(text: str) -> int:
-    """Upper-side estimate: four bytes a token, and the turn's markers."""
-    return len(text.encode("utf-8", "surrogatepass")) // 4 + 8
+def most_tokens(text: str) -> int:
+    """Tokens of any tokenizer whose pieces have a byte at least, and a mark before the text."""
+    return len(text.encode("utf-8", "surrogatepass")) + 1
 
 
 @dataclass(frozen=True)
@@ -64,7 +69,8 @@ class ChatWindows:
 @dataclass
 class _Turn:
     role: str
-    text: str
+    head: str
+    body: str  # the escaped text
     tokens: int
     before: int  # prefix sum of the tokens of earlier turns
 
@@ -74,6 +80,7 @@ class Conversation:
     """Takes turns in order; gives windows as tuples of WINDOWS without conv_id."""
 
     rules: ChatWindows
+    tokens_of: Callable[[str], int] = most_tokens
     system: _Turn | None = None
     total: int = 0  # prefix sum over all turns so far
     count: int = 0
@@ -83,7 +90,8 @@ class Conversation:
     last: deque = field(default_factory=deque)
 
     def add(self, role: str, text: str) -> Iterator[tuple]:
-        turn = _Turn(role, text, estimate_tokens(text), self.total)
+        head, body = f"{OPEN}{escape(role).replace('\n', '\\n')}\n", escape(text)
+        turn = _Turn(role, head, body, self.tokens_of(head + body + END), self.total)
         self.total += turn.tokens
         if self.new and self.total - self.new[0].before + sum(t.tokens for t in self.repeated) > self.rules.max_tokens:
             yield self.close()
@@ -107,10 +115,9 @@ class Conversation:
     def close(self) -> tuple:
         parts, loss, at = [], [], 0
         for k, t in enumerate([*self.repeated, *self.new]):
-            head, body = f"{OPEN}{escape(t.role).replace('\n', '\\n')}\n", escape(t.text)
             if k >= len(self.repeated) and t.role == self.rules.target:
-                loss.append({"start": at + len(head), "end": at + len(head) + len(body)})
-            parts.append(head + body + END)
+                loss.append({"start": at + len(t.head), "end": at + len(t.head) + len(t.body)})
+            parts.append(t.head + t.body + END)
             at += len(parts[-1])
         tokens = sum(t.tokens for t in self.repeated) + self.total_new()
         out = (self.window, len(self.repeated), len(self.new), tokens, "".join(parts), loss)
@@ -128,11 +135,17 @@ WINDOWS = (
 )
 
 
+def counter(pieces: Pieces) -> Callable[[str], int]:
+    tables = tables_for(pieces)
+    return lambda text: len(encode(tables, text))
+
+
 def format_chats(
     rows: DataFrame, rules: ChatWindows = ChatWindows(), conv_col: str = "conv_id", turn_col: str = "turn",
-    role_col: str = "role", text_col: str = "text",
+    role_col: str = "role", text_col: str = "text", pieces: Pieces | None = None,
 ) -> DataFrame:
-    """WINDOWS of all conversations; a conversation's windows are neighbours, in order."""
+    """WINDOWS of all conversations; a conversation's windows are neighbours, in order. pieces: the tokenizer
+    model that counts tokens (about 1 MB, broadcast); none: most_tokens."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     src = keyed(rows, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
@@ -142,8 +155,10 @@ def format_chats(
          ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
     )
     ship(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(pieces) if pieces else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(shared.value) if shared else most_tokens
         out: list[tuple] = []
         size = 0
         now: Conversation | None = None
@@ -162,7 +177,7 @@ def format_chats(
                     if now is None or i != conv:
                         if now and now.new:
                             out.append((conv, *now.close()))
-                        conv, now = i, Conversation(rules)
+                        conv, now = i, Conversation(rules, count)
                     for w in now.add(role or "", text or ""):
                         out.append((conv, *w))
                         size += len(w[4])
@@ -192,8 +207,8 @@ DIGESTS = (
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """DIGESTS of each conversation, from the formatted text and the loss spans alone; expects the
-    windows of format_chats as they are (a conversation's windows next to each other, in order)."""
+    """DIGESTS of each conversation, from the formatted text and the loss spans alone, whatever the order of
+    the rows: a shuffle by conversation puts its windows in order."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = windows.schema["conv_id"].dataType
@@ -233,5 +248,5 @@ def read_back(windows: DataFrame) -> DataFrame:
         if state:
             yield give([(conv, *state)])
 
-    src = windows.select("conv_id", "n_repeated", "formatted", "loss")
+    src = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window").select("conv_id", "n_repeated", "formatted", "loss")
     return src.mapInArrow(run, DIGESTS.format(id=kind.simpleString()))

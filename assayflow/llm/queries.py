@@ -43,7 +43,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return read_back(format_chats(rows))
+    return read_back(format_chats(rows, pieces=Pieces.load(TOKENIZER)))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
