@@ -11,8 +11,9 @@ local folder and a repeated task replaces its own output; export_archives() turn
 
 Defined cases: null html is an empty payload; null url gives no target header; a null page id is a
 revisit where its payload has a page with an id, else a response; rows that repeat a page id and
-payload are all responses (or all revisits); too few records to train on: the archive has no
-dictionary frame; empty table, no archives; further columns are ignored.
+payload are all responses (or all revisits); records too few or too short to train on are the
+dictionary's content themselves; a very long payload is one record, held whole; empty table, no
+archives; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, keyed, rows_of, ship
+from .common import arrow_rows, keyed, rows_of, ship, stored, work_dir
 
 # Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -72,6 +73,14 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def archive_info(name: str, date: str) -> bytes:
+    """The record that describes an archive."""
+    block = b"software: assayflow\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"]
+    head += [f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and block of one record; ValueError if it is damaged."""
     head, gap, rest = data.partition(b"\r\n\r\n")
@@ -84,10 +93,13 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 class ArchiveWriter:
-    """Collects records into an archive; the first SAMPLE_BYTES of them train its dictionary."""
+    """Collects records into an archive, which opens with a description of itself; the first SAMPLE_BYTES
+    of the records train its dictionary. Records too few or too short to train one are themselves
+    taken as its content, up to DICT_BYTES."""
 
-    def __init__(self) -> None:
-        self.waiting: list[bytes] = []
+    def __init__(self, name: str, date: str) -> None:
+        self.name = name
+        self.waiting: list[bytes] = [archive_info(name, date)]
         self.waiting_size = 0
         self.out = bytearray()
         self.compressor: zstandard.ZstdCompressor | None = None
@@ -106,11 +118,11 @@ class ArchiveWriter:
     def start(self) -> None:
         try:
             trained = zstandard.train_dictionary(min(DICT_BYTES, max(256, self.waiting_size // 10)), self.waiting, k=256, d=8)
-        except zstandard.ZstdError:  # too few or too short records
-            trained = None
-        if trained:
-            raw = trained.as_bytes()
-            self.out += struct.pack("<II", SKIPPABLE, len(raw)) + raw
+        except zstandard.ZstdError:
+            content = b"".join(self.waiting)[-DICT_BYTES:]
+            trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw = trained.as_bytes()
+        self.out += struct.pack("<II", SKIPPABLE, len(raw)) + raw
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_checksum=True)
         for data in self.waiting:
             self.out += self.compressor.compress(data)
@@ -177,19 +189,23 @@ def write_archives(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, writer = TaskContext.get().partitionId(), 0, ArchiveWriter()
+        part, number = TaskContext.get().partitionId(), 0
+
+        def opened() -> ArchiveWriter:
+            return ArchiveWriter(f"part-{part:05d}-{number:05d}.warc.zst", date)
 
         def done() -> pa.RecordBatch:
-            name = f"part-{part:05d}-{number:05d}.warc.zst"
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([writer.close()], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([writer.name]), pa.array([writer.close()], pa.binary())], schema=schema)
 
+        writer = opened()
         for batch in batches:
             for ids, urls, htmls, refers in rows_of(batch, 64):
                 for row in zip(ids, urls, htmls, refers, strict=True):
                     writer.add(record(row[0], row[1], (row[2] or "").encode("utf-8"), row[3], date))
                     if writer.size() >= ARCHIVE_BYTES:
                         yield done()
-                        number, writer = number + 1, ArchiveWriter()
+                        number += 1
+                        writer = opened()
         if writer.records:
             yield done()
 
@@ -198,12 +214,15 @@ def write_archives(
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """RECORDS of all archives of a table. Every response's digest and length are computed from the
-    payload and compared with its headers; a difference fails the job."""
+    payload and compared with its headers, and every revisit's with those of the response it names; a
+    difference fails the job."""
 
     def run(contents: list):
         for content in contents:
             for data in read_archive(content):
                 fields, block = parse_record(data)
+                if fields["WARC-Type"] == "warcinfo":
+                    continue
                 page = int(fields["X-Page-ID"]) if "X-Page-ID" in fields else None
                 digest, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
                 refers = None
@@ -219,7 +238,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
          ("record_type", pa.string()), ("refers_to", pa.int64())]
     )
-    return arrow_rows(spark.read.parquet(path).select("content"), run, schema, RECORDS, step=1)
+    records = stored(arrow_rows(spark.read.parquet(path).select("content"), run, schema, RECORDS, step=1), f"{work_dir(spark)}/records")
+    named = records.where("record_type = 'response'").groupBy(
+        F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")
+    ).agg(F.lit(True).alias("known"))
+    same = (F.col("refers_to") == F.col("p")) & (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b"))
+    lost = F.col("refers_to").isNotNull() & F.col("known").isNull()
+    wrong = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    kind = F.when(lost, wrong.cast("string")).otherwise(F.col("record_type")).alias("record_type")
+    return records.join(named, same, "left").select("page_id", "payload_bytes", "payload_digest", kind, "refers_to")
 
 
 def export_archives(spark: SparkSession, path: str, folder: str) -> int:

@@ -44,11 +44,16 @@ def chats(spark):
     return rows, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
 
 
-def test_chat(spark):
+@pytest.mark.parametrize("counted", [False, True])
+def test_chat(spark, counted):
     rows, df = chats(spark)
+    df = df.selectExpr("*", "1 as window", "'x' as formatted", "text as `Loss`")  # clashing names are ignored
     rules = chat.ChatWindows(max_tokens=300, history_tokens=80)
-    windows = chat.format_chats(df, rules)
-    got = {r.conv_id: r for r in chat.read_back(windows).collect()}
+    pieces = spm.Pieces.load(TOKENIZER)
+    windows = chat.format_chats(df, rules, pieces=pieces if counted else None)
+    found = chat.read_back(windows.repartition(7)).collect()
+    assert len(found) == len({r[0] for r in rows})
+    got = {r.conv_id: r for r in found}
     key = lambda r: (r[1], r[2] is not None, r[2] or "", r[3] or "")
     for conv in {r[0] for r in rows}:
         turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=key)]
@@ -58,6 +63,8 @@ def test_chat(spark):
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
     every = windows.collect()
     assert all(w.tokens <= 300 or w.n_new == 1 for w in every)
+    tables = spm.Tables(pieces)
+    assert all(len(spm.encode(tables, w.formatted)) <= w.tokens for w in every)
     assert got[1].n_windows > 2 and got[9].n_windows > 5
     later = [w for w in every if w.conv_id == 1 and w.window > 0]
     assert all(w.formatted.startswith("<|turn|>system\nBe brief.<|end|>") for w in later)
@@ -486,13 +493,36 @@ def test_warc(spark, tmp_path):
         want[(i, len(data), warc.digest_of(data), "revisit" if revisit else "response", best if revisit else None)] += 1
     assert Counter(map(tuple, got)) == want
     assert warc.export_archives(spark, f"file://{tmp_path}/a", str(tmp_path / "files")) == len(list((tmp_path / "files").iterdir()))
-    one = next((tmp_path / "files").iterdir()).read_bytes()
-    assert one[:4] == (0x184D2A5D).to_bytes(4, "little")
+    for file in (tmp_path / "files").iterdir():
+        assert file.read_bytes()[:4] == (0x184D2A5D).to_bytes(4, "little")
     none = spark.createDataFrame([], df.schema)
     warc.write_archives(none, f"file://{tmp_path}/b")
     assert warc.read_archives(spark, f"file://{tmp_path}/b").count() == 0
 
 
+def test_warc_few_records_and_long_ones(spark, tmp_path):
+    """Four pages are too few to train on, and still have a dictionary frame; a payload larger than an archive is whole."""
+    big = "".join(random.Random(1).choices("abc <>é", k=warc.ARCHIVE_BYTES))
+    df = spark.createDataFrame([(i, "u", t) for i, t in enumerate(["", "a", big, big + "x"])], "page_id long, url string, html string")
+    warc.write_archives(df.where("page_id < 2").coalesce(1), f"file://{tmp_path}/few")
+    (row,) = spark.read.parquet(f"file://{tmp_path}/few").collect()
+    assert row.content[:4] == (0x184D2A5D).to_bytes(4, "little")
+    kinds = [warc.parse_record(x)[0]["WARC-Type"] for x in warc.read_archive(bytes(row.content))]
+    assert kinds == ["warcinfo", "response", "response"]
+    warc.write_archives(df, f"file://{tmp_path}/long")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, f"file://{tmp_path}/long").collect()}
+    assert got == {r.page_id: (len(r.html.encode()), warc.digest_of(r.html.encode())) for r in df.collect()}
+
+
+def test_warc_revisit_of_another_payload_fails(spark, tmp_path):
+    writer = warc.ArchiveWriter("x", "2000-01-01T00:00:00Z")
+    writer.add(warc.record(1, "u", b"one", None, "2000-01-01T00:00:00Z"))
+    writer.add(warc.record(2, "u", b"two", 1, "2000-01-01T00:00:00Z"))
+    spark.createDataFrame([("x", writer.close())], warc.ARCHIVES).write.parquet(f"file://{tmp_path}/bad")
+    with pytest.raises(Exception, match="no response for the revisit of page 2"):
+        warc.read_archives(spark, f"file://{tmp_path}/bad").collect()
+
+
 # ---------------------------------------------------------------- empty tables, pipeline
 
 
