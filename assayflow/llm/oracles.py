@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import BOILERPLATE, NAV_LINES, NAV_SEPARATORS, TERMINAL, QualityRules
+from .quality_rules import NAV_SEPARATORS, TERMINAL, QualityRules
 
 _R = QualityRules()
 
@@ -23,8 +23,8 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i
 line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d WHERE text IS NOT NULL),
 judged AS (SELECT doc_id, l, {_SPLIT.format("l")} AS lw, trim({_LOWER.format("l")}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS low FROM line),
 lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines, count(*) FILTER (bad) AS n_removed_lines, coalesce(sum(len(lw)) FILTER (bad), 0) AS lost_words
-  FROM (SELECT doc_id, l, lw, list_has_any(list_transform([{_list(BOILERPLATE)}], lambda x: contains(low, x)), [true])
-    OR (len(lw) <= {_R.nav_words} AND (low IN ({_list(NAV_LINES)}) OR len(list_filter(lw, lambda x: x IN ({_list(sorted(NAV_SEPARATORS))}))) >= 2))
+  FROM (SELECT doc_id, l, lw, list_has_any(list_transform([{_list(_R.boilerplate)}], lambda x: contains(low, x)), [true])
+    OR (len(lw) <= {_R.nav_words} AND (low IN ({_list(_R.nav_lines)}) OR len(list_filter(lw, lambda x: x IN ({_list(sorted(NAV_SEPARATORS))}))) >= 2))
     OR (len(lw) < {_R.long_line_words} AND NOT contains('{TERMINAL.replace("'", "''")}', right(low, 1))) AS bad FROM judged WHERE len(lw) > 0) GROUP BY doc_id),
 counts AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   coalesce(len(regexp_extract_all(text, '[#*$%&|<>]')), 0) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,

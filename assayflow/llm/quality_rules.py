@@ -5,7 +5,7 @@ document that loses more than a share of its words is rejected. Whole-text count
 
 Defined cases: null text counts as a text without words, its cleaned text is null and it is not
 kept; an empty text stays empty and is not kept; blank lines are neither judged nor counted as
-lost; repeated rows are judged each on their own; an empty table gives an empty table; further
+lost; a very long text is judged whole, in the memory of a few of its copies; repeated rows are judged each on their own; an empty table gives an empty table; further
 input columns are ignored, whatever their names.
 """
 
@@ -23,27 +23,68 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 TERMINAL = ".!?:;\"')]}…”’»。！？"
 NAV_SEPARATORS = frozenset(["|", ">", "»", "›", "·", "•", "/"])
-NAV_LINES = (
-    "home", "menu", "search", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back",
-    "contact", "contact us", "about", "about us", "sitemap", "skip to content", "read more", "share", "top",
-)
-BOILERPLATE = (
-    "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "use cookies",
-    "enable javascript", "lorem ipsum", "subscribe to our", "click here", "licensed under", "copyright (c)", "©",
-)
+#: Lines of navigation and phrases of boilerplate, by language; QualityRules takes others.
+NAV_LINES = {
+    "en": (
+        "home", "menu", "search", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back",
+        "contact", "contact us", "about", "about us", "sitemap", "skip to content", "read more", "share", "top",
+    ),
+    "de": (
+        "startseite", "menü", "suche", "suchen", "anmelden", "abmelden", "registrieren", "weiter", "zurück",
+        "kontakt", "über uns", "impressum", "datenschutz", "seitenübersicht", "zum inhalt", "zum inhalt springen",
+        "mehr lesen", "weiterlesen", "teilen", "nach oben",
+    ),
+    "fr": (
+        "accueil", "menu", "recherche", "rechercher", "connexion", "se connecter", "s'inscrire", "suivant",
+        "précédent", "retour", "contact", "contactez-nous", "à propos", "À propos", "plan du site", "aller au contenu",
+        "lire la suite", "en savoir plus", "partager", "haut de page", "mentions légales",
+    ),
+    "es": (
+        "inicio", "menú", "buscar", "búsqueda", "iniciar sesión", "acceder", "registrarse", "siguiente", "anterior",
+        "volver", "contacto", "contáctenos", "acerca de", "sobre nosotros", "mapa del sitio", "ir al contenido",
+        "leer más", "seguir leyendo", "compartir", "arriba",
+    ),
+}
+BOILERPLATE = {
+    "en": (
+        "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "use cookies",
+        "enable javascript", "lorem ipsum", "subscribe to our", "click here", "licensed under", "copyright (c)", "©",
+    ),
+    "de": (
+        "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookie-richtlinie", "verwendet cookies",
+        "javascript aktivieren", "newsletter abonnieren", "klicken sie hier", "lizenziert unter",
+    ),
+    "fr": (
+        "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies",
+        "activer javascript", "abonnez-vous à", "cliquez ici", "sous licence",
+    ),
+    "es": (
+        "todos los derechos reservados", "política de privacidad", "condiciones de uso", "términos de uso",
+        "utiliza cookies", "active javascript", "suscríbase a", "haga clic aquí", "bajo licencia",
+    ),
+}
+
+
+def every(lists: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
+    """The phrases of all languages, each once."""
+    return tuple(dict.fromkeys(x for words in lists.values() for x in words))
 
 
 @dataclass(frozen=True)
 class QualityRules:
     """min_words, max_repeat_percent: whole-text limits. long_line_words: a line of so many words
     may end without punctuation. nav_words: the longest navigation line. max_lost_percent: share of
-    words a document may lose with its lines."""
+    words a document may lose with its lines. nav_lines, boilerplate: phrases as they look with A-Z
+    lowered; a line is navigation if it is such a phrase, boilerplate if it holds one. A document's
+    language isn't asked: the lists hold those of all languages that the corpus may have."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     long_line_words: int = 20
     nav_words: int = 8
     max_lost_percent: int = 50
+    nav_lines: tuple[str, ...] = every(NAV_LINES)
+    boilerplate: tuple[str, ...] = every(BOILERPLATE)
 
 
 def line_fault(line: str, rules: QualityRules) -> str | None:
@@ -52,10 +93,10 @@ def line_fault(line: str, rules: QualityRules) -> str | None:
     if not words:
         return None
     low = line.translate(_LOWER).strip(SPACES)
-    if any(x in low for x in BOILERPLATE):
+    if any(x in low for x in rules.boilerplate):
         return "boilerplate"
     if len(words) <= rules.nav_words:
-        if low in NAV_LINES or sum(w.decode("utf-8", "replace") in NAV_SEPARATORS for w in words) >= 2:
+        if low in rules.nav_lines or sum(w.decode("utf-8", "replace") in NAV_SEPARATORS for w in words) >= 2:
             return "navigation"
     if len(words) < rules.long_line_words and low[-1] not in TERMINAL:
         return "punctuation"

@@ -54,11 +54,29 @@ def test_quality_counts(docs):
         assert not (r.base_failed and r.kept)
 
 
+def test_very_long_texts(spark):
+    """Texts of some megabytes are read whole."""
+    words_of = [f"word{i % 7919}." for i in range(200_000)]
+    long = "\n".join(" ".join(words_of[i : i + 40]) for i in range(0, len(words_of), 40)) + "\ntoken=abcDEF123456789xyz"
+    df = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    (got,) = Q.apply_quality_rules(df).collect()
+    assert tuple(got[1:7]) == slow_base(long)
+    (got,) = S.scan_secrets(df).collect()
+    at = long.index("token=")
+    assert [(x.start, x.end) for x in got.spans if x.kind == 0] == [(at, len(long))]
+
+
 def test_quality_lines():
     rules = Q.QualityRules()
     assert Q.line_fault("Home | About | Contact", rules) == "navigation"
     assert Q.line_fault("All rights reserved.", rules) == "boilerplate"
     assert Q.line_fault("no end here", rules) == "punctuation"
+    for line in ("Impressum", "Lire la suite", "Mapa del sitio"):
+        assert Q.line_fault(line, rules) == "navigation"
+    for line in ("Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados."):
+        assert Q.line_fault(line, rules) == "boilerplate"
+    own = Q.QualityRules(nav_lines=("etusivu",), boilerplate=())
+    assert Q.line_fault("etusivu", own) == "navigation" and Q.line_fault("All rights reserved.", own) is None
     assert Q.line_fault("A sentence.", rules) is None
     good = "This is a plain sentence that should stay as it is here.\n" * 1
     text = "".join(f"Sentence{i} number{i} says{i} something{i} else{i}.\n" for i in range(12)) + "menu\n" + good

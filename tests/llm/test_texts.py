@@ -116,6 +116,78 @@ def test_language_id_rejects(spark, sf):
     assert got == set(range(len(bad), len(rows)))
 
 
+def plain_grams(text):
+    out = Counter()
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        out.update(w)
+        padded = f" {w} "
+        for n in (2, 3):
+            out.update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    return out
+
+
+def plain_profiles(rows, sample, size=langid.PROFILE):
+    """rows: doc_id, text, lang of the training documents; sample: those learned from."""
+    counts = defaultdict(Counter)
+    for i, text, lang in rows:
+        if (i, lang) in sample:
+            counts[lang].update(plain_grams(text))
+    code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+    return {lang: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))[:size]] for lang, c in counts.items()}
+
+
+def plain_language(text, profiles, size=langid.PROFILE):
+    code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+    own = [g for g, _ in sorted(plain_grams(text).items(), key=lambda x: (-x[1], code(x[0])))[:size]]
+    if not own:
+        return "und", 0.0
+    far = {}
+    for lang, ranked in profiles.items():
+        place = {g: k for k, g in enumerate(ranked)}
+        far[lang] = sum(min(size, abs(place[g] - k)) if g in place else size for k, g in enumerate(own))
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (size * len(own))
+
+
+@pytest.mark.parametrize("train_docs", [langid.TRAIN_DOCS, 7])
+def test_language_id_against_plain_python(spark, sf, train_docs, monkeypatch):
+    """op4_language_id, profiles and predictions, on all documents."""
+    import zlib
+
+    from assayflow.llm import queries
+
+    learn = langid.learn_profiles
+    monkeypatch.setattr(queries, "learn_profiles", lambda docs: learn(docs, train_docs=train_docs))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "lang", "xxhash64(doc_id) h").collect()
+    training = [r for r in docs if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    sample = set()
+    for lang in {r.lang for r in training}:
+        ids = sorted({(r.h, r.doc_id) for r in training if r.lang == lang})[:train_docs]
+        sample |= {(i, lang) for _, i in ids}
+    profiles = plain_profiles([(r.doc_id, r.text, r.lang) for r in training], sample)
+    got = {r.doc_id: r for r in queries.op4_language_id(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        lang, score = plain_language(r.text, profiles)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-9
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_language_id_odd_rows(spark):
+    """Ties go to the first language by name; an empty table, very long texts and clashing columns are fine."""
+    train = [(i, t, lang) for i in range(40) for t, lang in (("uno dos tres", "b"), ("uno dos tres", "a"), ("xx yy zz", "c"))]
+    docs = spark.createDataFrame(train, "doc_id long, text string, lang string").selectExpr("*", "1 as h", "2 as place", "'q' as score")
+    profiles = langid.learn_profiles(docs)
+    assert profiles.langs == ["a", "b", "c"]
+    rows = frame(spark, [(1, "dos uno"), (2, "xx " * 500_000), (3, "漢字")])
+    got = {r.doc_id: r for r in langid.identify(rows, profiles).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["a", "c", "a"] and got[3].score == 0
+    none = spark.createDataFrame([], rows.schema)
+    assert langid.identify(none, profiles).count() == langid.keep_identified(none, profiles).count() == 0
+    kept = langid.keep_identified(rows, profiles, langs=("c",), label_col="h1").collect()
+    assert [(r.doc_id, r.h1) for r in kept] == [(2, "c")]
+
+
 def test_ranking_is_rank_order():
     text = "Anna anno, Ñandú 7 a"
     count = Counter()
@@ -542,7 +614,7 @@ def test_pipeline(spark, sf):
 
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    docs = [(i, t) for i, t in docs if t and any(c.isalpha() for c in t)]
+    docs = [(i, t) for i, t in docs if t and any(c.isalpha() for c in t)]  # none of these scores too low, see test_language_id_rejects
     cut = slow_line_dedup(docs)
     docs = [(i, cut[i][2]) for i, _ in docs if cut[i][2]]
     stay = {i for i, n, c in slow_components(docs) if i == c}
@@ -565,6 +637,48 @@ def test_pipeline(spark, sf):
     assert gone and got == want
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCUMENTS)
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark, sf):
+    import corpus_pipeline
+
+    w, v = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(1, w), (None, w), (5, w), (5, v), (7, v + " x"), (9, v), (9, v), (11, None), (11, None), (12, ""), (None, "alone here"), (None, "alone here")]
+    got = corpus_pipeline.near_duplicates(spark, documents(spark, rows).repartition(3), sf)
+    assert got.columns == [x.split()[0] for x in DOCUMENTS.split(", ")]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, w), (5, v), (11, None), (11, None), (12, ""), (None, "alone here")])
+    # Rows of one id and text that differ elsewhere are one group as well; further columns stay.
+    more = documents(spark, [(9, v), (9, v)]).selectExpr("*", "rand() as row_hash", "map(1, 2) as m", "1 as k")
+    one = corpus_pipeline.near_duplicates(spark, more, sf)
+    assert one.columns == more.columns and one.count() == 1
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    """Nulls in any column, empty texts, repeated rows, further columns, and an empty table, in each stage."""
+    import corpus_pipeline
+
+    prose = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(12).collect()]
+    rows = [(None, None), (1, None), (2, ""), (3, " \n"), (None, prose[0]), (4, prose[1]), (4, prose[1]), *enumerate(prose, 10)]
+    docs = documents(spark, rows).selectExpr("*", "1 as k", "'x' as h1", "2 as g", "null as lines")
+    docs = docs.union(docs.limit(1).selectExpr("doc_id", "text", "null", "null", "null", "null", "null", "null", "null"))
+    none = spark.createDataFrame([], DOCUMENTS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0
+        out = stage(spark, docs, sf)
+        n = out.count()
+        assert 0 < n <= docs.count()
+        if name != "sentencepiece":
+            assert out.columns == docs.columns and stage(spark, none, sf).columns == none.columns
+    kept = corpus_pipeline.language_id(spark, docs, sf).collect()
+    assert all(r.text and any(c.isalpha() for c in r.text) for r in kept) and {r.lang for r in kept} <= {"en", "de", "fr", "es"}
+    assert corpus_pipeline.line_dedup(spark, docs.drop("n_chars"), sf).count() > 0
+
+
 def test_word_hashes(monkeypatch):
     import pyarrow as pa
 
