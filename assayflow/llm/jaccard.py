@@ -8,13 +8,14 @@ one class; classes link when their Jaccard similarity reaches the threshold. The
    Sizes and places in the prefix bound the overlap of two classes whose first shared token this is;
    a token's rows that no other class can meet under this bound go;
 2. puts similar classes into groups: each class is compared with the one of another group that most
-   often is the centre of its tokens, the class in which the token stands first; verified links form
-   groups. Rounds go on while an eighth of the comparisons are links. Groups are dealt into blocks
-   of bounded size;
+   often is the centre of its tokens, the class in which the token stands first, if the two share
+   enough prefix tokens; verified links form groups. Rounds go on while three of four comparisons
+   are links. Groups are dealt into blocks of bounded size;
 3. stores the matrix of tokens and blocks (a block's tokens are the union of its members'), looks up
    the prefix of every class of another group in it, and for the blocks it meets under the bound of
-   sizes and places bounds the possible overlap by that of the class with the block's whole union;
-   only blocks that reach the needed overlap are opened, and their members compared exactly;
+   sizes and places bounds the possible overlap by that of the class with the block's union, of
+   prefix tokens first, then of all; only blocks that reach the needed overlap are opened, and
+   their members compared exactly;
 4. joins groups along the links found to components.
 
 No pair within a group is ever listed: members of a group are already connected. Texts are read in
@@ -49,7 +50,7 @@ ROUNDS = 4
 #: Members and tokens of a block, about.
 BLOCK = 64
 BLOCK_TOKENS = 1 << 20
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1 << 20
 #: Classes that a task remembers to have given out.
 REMEMBERED = 1 << 20
 
@@ -217,8 +218,10 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
     place = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("p").cast("long")).alias("np")
     posts = rows.where("prefix is not null").select("c", "n", F.posexplode("prefix").alias("p", "t")).select("t", "c", place)
     posts = posts.repartition("t")
-    twice = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    both = posts.join(twice.select("t").hint("shuffle_hash"), "t", "left_semi").distinct()
+    # Both sides ask for all columns, so that they share one shuffle.
+    twice = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("np").alias("np"))
+    twice = twice.where("lo < hi and np >= 0").select("t")
+    both = posts.join(twice.hint("shuffle_hash"), "t", "left_semi").distinct()
     return both.select("t", "c", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("p"))
 
 
@@ -245,15 +248,42 @@ def able_to_meet(live: DataFrame, percent: int) -> DataFrame:
     return rows.join(most, other & meet(F.col("n"), F.col("u"), F.col("n2"), F.col("u2"), percent), "left_semi")
 
 
+def shared_lists(live: DataFrame, able: DataFrame) -> DataFrame:
+    """c, shared: of each class that can meet another one, all prefix tokens that any other class has too."""
+    return live.join(able.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.collect_list("t").alias("shared"))
+
+
+def least_shared(n1: Column, n2: Column, percent: int) -> Column:
+    """Prefix tokens that linked sets of these sizes share at least. Up to the lesser of the two
+    prefixes' ends in the common order, both prefixes hold every token. The set whose prefix ends there
+    has need - 1 tokens beyond it, so the overlap is at most the shared prefix tokens and those."""
+    overlap = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
+    return F.greatest(F.lit(1), overlap - F.ceil(F.greatest(n1, n2) * percent / F.lit(100)) + 1)
+
+
+def least_shared_between(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """The minimum of least_shared(n, x) for x from low to high. Up to n it rises with x. Above n it falls by
+    percent**2 / (100 * (100 + percent)) a step, but the ceilings can lift it by less than 2, so a size
+    just below high may need one token less; sizes farther below need no less than high does."""
+    near = -(-100 * (100 + percent) // percent**2)
+    sizes = [low, *[F.greatest(low, high - k) for k in range(near)]]
+    return F.least(*[least_shared(n, x, percent) for x in sizes])
+
+
 def similar(inter: Column, n1: Column, n2: Column, percent: int) -> Column:
     return 100 * inter >= percent * (n1 + n2 - inter)
 
 
-def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, ...) of classes that link."""
+def bounded(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Rows of a few numbers each, broadcast if their count allows it."""
+    return F.broadcast(rows) if n_rows <= BROADCAST_IDS else rows
+
+
+def verified(pairs: DataFrame, tokens: DataFrame, percent: int, n_pairs: int) -> DataFrame:
+    """The pairs (a, b, ...) of classes that link. The token lists of a and b meet in one shuffle by b."""
     x = tokens.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     y = tokens.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(x, "a").join(y, "b")
+    both = x.join(bounded(pairs, n_pairs), "a").join(y.join(bounded(pairs.select("b").distinct(), n_pairs), "b", "left_semi"), "b")
     found = both.where(similar(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"), percent))
     return found.select(*pairs.columns)
 
@@ -273,10 +303,20 @@ def star_pairs(rows: DataFrame, percent: int, seed: int = 0) -> DataFrame:
     pairs = rows.join(centre, (F.col("t") == F.col("t2")) & (F.col("s") == F.col("s2")))
     pairs = pairs.where((F.col("g") != F.col("m.gb")) & meet(F.col("n"), F.col("u"), F.col("m.nb"), F.col("m.ub"), percent))
     counted = pairs.groupBy(F.col("c").alias("a"), F.col("m.b").alias("b")).agg(
-        F.count("*").alias("k"), F.first("g").alias("ga"), F.first("m.gb").alias("gb")
+        F.count("*").alias("k"), F.first("g").alias("ga"), F.first("m.gb").alias("gb"), F.first("n").alias("na"), F.first("m.nb").alias("nb")
+    )
+    best = counted.groupBy("a").agg(F.max(F.struct("k", "b", "ga", "gb", "na", "nb")).alias("m"))
+    return best.select("a", "m.b", "m.ga", "m.gb", "m.na", "m.nb")
+
+
+def likely(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b, ga, gb, na, nb that share enough prefix tokens."""
+    x = shared.select(F.col("c").alias("a"), F.col("shared").alias("ta"))
+    y = shared.select(F.col("c").alias("b"), F.col("shared").alias("tb"))
+    both = pairs.join(x, "a").join(y, "b").where(
+        F.size(F.array_intersect("ta", "tb")) >= least_shared(F.col("na"), F.col("nb"), percent)
     )
-    best = counted.groupBy("a").agg(F.max(F.struct("k", "b", "ga", "gb")).alias("m"))
-    return best.select("a", "m.b", "m.ga", "m.gb")
+    return both.select("a", "b", "ga", "gb")
 
 
 def labels_of(links: DataFrame) -> DataFrame:
@@ -288,12 +328,12 @@ def labels_of(links: DataFrame) -> DataFrame:
     return both.select(F.col("ga").alias("x"), F.least("gb", F.coalesce("far", "gb")).alias("y")).where("x != y")
 
 
-def grouped_rows(rows: DataFrame, percent: int) -> DataFrame:
+def grouped_rows(rows: DataFrame, path: str) -> DataFrame:
     """Rows of the tokens that two groups or more have, with the group's members m and the class's block k
     in it."""
     across = rows.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("t")
     members = rows.select("c", "n", "g").distinct().groupBy(F.col("g").alias("g1")).agg(F.count("*").alias("m"), F.sum("n").alias("all"))
-    of = rows.join(across, "t", "left_semi").join(members, F.col("g") == F.col("g1"))
+    of = rows.join(across, "t", "left_semi").join(stored(members, f"{path}/members"), F.col("g") == F.col("g1"))
     blocks = F.greatest(F.lit(1), F.floor(F.col("m") / BLOCK), F.least(F.col("m"), F.floor(F.col("all") / BLOCK_TOKENS)))
     return of.select("t", "c", "n", "u", "g", "m", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("k"))
 
@@ -310,29 +350,40 @@ def met_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.join(matrix, on & meet(F.col("n"), F.col("u"), F.col("n2"), F.col("u2"), percent)).select("c", "n", "g2", "k2").distinct()
 
 
-def open_blocks(rows: DataFrame, met: DataFrame, tokens: DataFrame, path: str, percent: int) -> DataFrame:
-    """Links (a, b) between the classes and blocks that met."""
-    # Unions of the blocks that were met.
+def open_blocks(
+    rows: DataFrame, met: DataFrame, shared: DataFrame, tokens: DataFrame, path: str, percent: int
+) -> DataFrame:
+    """Links (a, b) between the classes and blocks that met. The overlap is bounded twice by a block's union:
+    by that of the prefix tokens, then, where that is enough, of all tokens."""
     wanted = met.select(F.col("g2").alias("g"), F.col("k2").alias("k")).distinct()
     inside = stored(rows.join(wanted, ["g", "k"], "left_semi").select("c", "n", "g", "k").distinct(), f"{path}/inside")
-    unions = (
-        inside.select("c", "g", "k").join(tokens, "c")
-        .groupBy("g", "k")
-        .agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.count_distinct("c").alias("size"), F.min("c").alias("only"))
-        .select(F.col("g").alias("g2"), F.col("k").alias("k2"), "union", "size", "only")
-    )
-    own = tokens.select("c", "tokens")
-    bound = met.join(own, "c").join(unions, ["g2", "k2"]).select(
+
+    def unions(lists: DataFrame, column: str) -> DataFrame:
+        both = lists.join(bounded(inside.select("c", "n", "g", "k"), inside.count()), "c")
+        return both.groupBy(F.col("g").alias("g2"), F.col("k").alias("k2")).agg(
+            F.array_distinct(F.flatten(F.collect_list(column))).alias("union"), F.count_distinct("c").alias("size"),
+            F.min("c").alias("only"), F.min("n").alias("n1"), F.max("n").alias("n2"),
+        )
+
+    n = F.col("n")
+    low, high = F.greatest(F.col("n1"), F.ceil(n * percent / F.lit(100))), F.least(F.col("n2"), F.floor(n * 100 / F.lit(percent)))
+    first = shared.join(bounded(met, met.count()), "c").join(unions(shared, "shared"), ["g2", "k2"])
+    first = first.where(F.size(F.array_intersect("shared", "union")) >= least_shared_between(n, low, high, percent))
+    near = stored(first.select("c", "g2", "k2"), f"{path}/near")
+    wanted = near.select(F.col("g2").alias("g"), F.col("k2").alias("k")).distinct()
+    inside = stored(inside.join(wanted, ["g", "k"], "left_semi"), f"{path}/near_inside")
+    own = tokens.select("c", "n", "tokens")
+    bound = own.join(bounded(near, near.count()), "c").join(unions(own.drop("n"), "tokens"), ["g2", "k2"]).select(
         "c", "n", "g2", "k2", "size", "only", F.size("union").alias("nu"),
         F.size(F.array_intersect("tokens", "union")).cast("long").alias("i"),
     )
-    bound = stored(bound.where(100 * F.col("i") >= percent * F.col("n")), f"{path}/bound")
+    bound = stored(bound.where(100 * F.col("i") >= percent * n), f"{path}/bound")
     # A block of one class is its own union, so the bound is the overlap itself.
-    single = bound.where("size = 1").where(similar(F.col("i"), F.col("n"), F.col("nu"), percent))
-    opened = bound.where("size > 1").select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("g2").alias("g"), F.col("k2").alias("k"))
+    single = bound.where("size = 1").where(similar(F.col("i"), n, F.col("nu"), percent))
+    opened = bound.where("size > 1").select(F.col("c").alias("a"), n.alias("na"), F.col("g2").alias("g"), F.col("k2").alias("k"))
     pairs = opened.join(inside.select(F.col("c").alias("b"), F.col("n").alias("nb"), "g", "k"), ["g", "k"])
-    pairs = pairs.where(fits(F.col("na"), F.col("nb"), percent)).select("a", "b")
-    return single.select(F.col("c").alias("a"), F.col("only").alias("b")).unionByName(verified(pairs, tokens, percent))
+    pairs = stored(pairs.where(fits(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct(), f"{path}/opened")
+    return single.select(F.col("c").alias("a"), F.col("only").alias("b")).unionByName(verified(pairs, tokens, percent, pairs.count()))
 
 
 def similarity_components(
@@ -348,27 +399,29 @@ def similarity_components(
     rows = mend(rows)
     live = stored(shared_prefixes(rows), f"{path}/live")
     able = stored(able_to_meet(live, percent), f"{path}/able")
+    shared = stored(shared_lists(live, able), f"{path}/shared")
     remove(spark, f"{path}/live")
     firsts = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("id"))
-    ids = stored(firsts.join(able.select("c").distinct(), "c", "left_semi"), f"{path}/ids")
+    ids = stored(firsts.join(shared.select("c"), "c", "left_semi"), f"{path}/ids")
     tokens = stored(mend(class_tokens(src, ids, k)).drop("c2"), f"{path}/tokens")
 
     grouped = able.withColumn("g", F.col("c"))
     links = spark.createDataFrame([], "a bigint, b bigint")
     for r in range(ROUNDS):
-        pairs = stored(star_pairs(grouped, percent, r), f"{path}/pairs{r}")
-        found = stored(verified(pairs, tokens, percent).distinct(), f"{path}/links{r}")
+        pairs = stored(likely(star_pairs(grouped, percent, r), shared, percent), f"{path}/pairs{r}")
+        n_pairs = pairs.count()
+        found = stored(verified(pairs, tokens, percent, n_pairs).distinct(), f"{path}/links{r}")
         links = links.unionByName(found.select("a", "b"))
         n_found = found.count()
         if n_found:
             label = stored(labels_of(found), f"{path}/labels{r}")
             grouped = grouped.join(label, F.col("g") == F.col("x"), "left").withColumn("g", F.coalesce("y", "g")).drop("x", "y")
             grouped = stored(grouped, f"{path}/grouped{r}")
-        if 8 * n_found < pairs.count():
+        if 4 * n_found < 3 * n_pairs or not n_pairs:
             break
-    matrix_rows = stored(grouped_rows(grouped, percent), f"{path}/matrix")
+    matrix_rows = stored(grouped_rows(grouped, path), f"{path}/matrix")
     met = stored(met_blocks(matrix_rows, percent), f"{path}/met")
-    more = stored(open_blocks(matrix_rows, met, tokens, path, percent), f"{path}/links")
+    more = stored(open_blocks(matrix_rows, met, shared, tokens, path, percent), f"{path}/links")
     comps = stored(connected_components(links.unionByName(more), f"{path}/cc"), f"{path}/comps")
     rooted = rows.select("doc_id", "n", "c").join(comps, F.col("c") == F.col("v"), "left")
     rooted = rooted.select("doc_id", "n", "c", F.coalesce("root", "c").alias("r"))

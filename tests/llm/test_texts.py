@@ -464,7 +464,7 @@ def test_jaccard(spark, monkeypatch, block):
 
 def test_jaccard_opens_blocks(spark, monkeypatch):
     """Groups that the first round leaves apart are found through the matrix."""
-    none = "a bigint, b bigint, ga bigint, gb bigint"
+    none = "a bigint, b bigint, ga bigint, gb bigint, na bigint, nb bigint"
     monkeypatch.setattr(jaccard, "star_pairs", lambda rows, percent, seed: spark.createDataFrame([], none))
     rows = near_copies(random.Random(7), 8, 10)
     assert Counter(map(tuple, jaccard.similarity_components(frame(spark, rows)).collect())) == slow_components(rows)
@@ -495,14 +495,35 @@ def test_jaccard_first_shared_token_lies_in_reach(percent):
     assert links > 500
 
 
-def test_jaccard_keeps_what_can_meet(spark):
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_jaccard_least_shared_between(spark, percent):
+    """The bound over a range of sizes is the least over each size in it."""
+    import pandas as pd
+
+    def slow(n, x):
+        return max(1, -(-percent * (n + x) // (100 + percent)) - -(-max(n, x) * percent // 100) + 1)
+
+    rows = []
+    for n in [*range(1, 40), 100, 101, 255, 599]:
+        low, high = -(-n * percent // 100), n * 100 // percent
+        for n1 in range(low, high + 1):
+            least = slow(n, n1)
+            for n2 in range(n1, min(high, n1 + 60) + 1):
+                least = min(least, slow(n, n2))
+                rows.append((n, n1, n2, least))
+    n, n1, n2 = (jaccard.F.col(c) for c in ("n", "n1", "n2"))
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["n", "n1", "n2", "least"]))
+    assert df.where(jaccard.least_shared_between(n, n1, n2, percent) != jaccard.F.col("least")).count() == 0
+
+
+def test_jaccard_keeps_what_can_meet(spark, tmp_path):
     """One class of 13 tokens may meet one of 14 by its second token, but not by its third."""
     rows = [(5, 1, 13, 1), (5, 2, 14, 1), (6, 1, 13, 2), (6, 2, 14, 1), (7, 1, 13, 0), (7, 3, 40, 0)]
     df = spark.createDataFrame(rows, "t long, c long, n long, p long")
     kept = jaccard.able_to_meet(df, 80).select("t", "c").collect()
     assert sorted(map(tuple, kept)) == [(5, 1), (5, 2), (6, 2)]  # a bucket's bound holds the row itself
     grouped = jaccard.able_to_meet(df, 80).withColumn("g", jaccard.F.col("c"))
-    assert [tuple(r) for r in jaccard.met_blocks(jaccard.grouped_rows(grouped, 80), 80).collect()] == [(1, 13, 2, 0)]
+    assert [tuple(r) for r in jaccard.met_blocks(jaccard.grouped_rows(grouped, f"file://{tmp_path}"), 80).collect()] == [(1, 13, 2, 0)]
 
 
 def test_jaccard_many_copies_of_an_absent_text(spark):
