@@ -428,7 +428,8 @@ def similarity_components(
     result = work_dir(spark)
     rooted = stored(rooted, f"{result}/rooted")
     remove(spark, path)
-    least = rooted.where("r is not null").groupBy(F.col("r").alias("r2")).agg(F.min("doc_id").alias("least"))
+    # Stored, so that the join's sides are plain shuffles, which Spark can split where a group is large.
+    least = stored(rooted.where("r is not null").groupBy(F.col("r").alias("r2")).agg(F.min("doc_id").alias("least")), f"{result}/least")
     return rooted.join(least, F.col("r") == F.col("r2"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("r").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     )
