@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,36 +28,49 @@ def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+\z", "")
 
 
-def before(text: Column, pattern: str) -> Column:
+def before(text: Column, pattern: str | Column) -> Column:
     """The text up to a pattern's first match."""
     return F.element_at(F.split(text, pattern, 2), 1)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """A value that is computed once and used as often as needed."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def first_found(text: Column, patterns, flags: str) -> Column:
+    """The first pattern of a list that a text holds, with its flags; null if none. One pass over all of them
+    comes first, as most texts hold none."""
+    out = F.lit(None).cast("string")
+    for p in reversed(patterns):
+        out = F.when(text.rlike(f"{flags}{p}"), F.lit(f"{flags}{p}")).otherwise(out)
+    return F.when(text.rlike(flags + "|".join(f"(?:{p})" for p in patterns)), out)
+
+
 def cut_references(text: Column, headers=vocab.REFERENCE_HEADERS, run: int = 3) -> Column:
     """Without the reference section: cut before the first header pattern of the list that is found,
     else before the first `run` consecutive lines that look like references (O-X1)."""
-    lines = F.split(text, "\n", -1)
-    flags = F.transform(lines, lambda x: strip(x).rlike(vocab.REFERENCE_LINE))
-    runs = flags
-    for k in range(1, run):
-        shifted = F.slice(flags, k + 1, F.greatest(F.size(flags), F.lit(1)))
-        runs = F.zip_with(runs, shifted, lambda a, b: a & b)
-    at = F.array_position(runs, True)
-    out = F.when(at > 0, rstrip(F.array_join(F.slice(lines, 1, F.greatest(at - 1, F.lit(0)).cast("int")), "\n")))
-    out = F.coalesce(out, text)
-    for pattern in reversed(headers):
-        p = f"(?iU){pattern}"
-        out = F.when(text.rlike(p), rstrip(before(text, p))).otherwise(out)
-    return out
+
+    def by_lines(lines: Column) -> Column:
+        flags = F.transform(lines, lambda x: x.rlike(f"(?U){vocab.REFERENCE_LINE}"))
+        runs = flags
+        for k in range(1, run):
+            shifted = F.slice(flags, k + 1, F.greatest(F.size(flags), F.lit(1)))
+            runs = F.zip_with(runs, shifted, lambda a, b: a & b)
+        return let(
+            F.array_position(runs, True),
+            lambda at: F.when(at > 0, rstrip(F.array_join(F.slice(lines, 1, F.greatest(at - 1, F.lit(0)).cast("int")), "\n"))),
+        )
+
+    # Only a text with such a line at all is cut into lines.
+    may = text.rlike(f"(?mU){vocab.REFERENCE_LINE}")
+    whole = F.when(may, F.coalesce(let(F.split(text, "\n", -1), by_lines), text)).otherwise(text)
+    return let(first_found(text, headers, "(?iU)"), lambda p: F.when(p.isNotNull(), rstrip(before(text, p))).otherwise(whole))
 
 
 def cut_markdown_references(text: Column, headers=vocab.MARKDOWN_REFERENCE_HEADERS) -> Column:
     """Cut before the first header of the list that is found; nothing is trimmed (O-X3)."""
-    out = text
-    for pattern in reversed(headers):
-        p = f"(?imU){pattern}"
-        out = F.when(text.rlike(p), before(text, p)).otherwise(out)
-    return out
+    return let(first_found(text, headers, "(?imU)"), lambda p: F.when(p.isNotNull(), before(text, p)).otherwise(text))
 
 
 def cut_paper_references(text: Column, rules=vocab.PAPER_REFERENCES) -> Column:
@@ -71,47 +85,44 @@ def cut_paper_references(text: Column, rules=vocab.PAPER_REFERENCES) -> Column:
 def cut_introduction(text: Column, headers=vocab.INTRODUCTION_HEADERS, ends=vocab.INTRODUCTION_ENDS) -> Column:
     """Without the part from the introduction's header to the next section's; unchanged if either is
     missing. Both lists are tried in order (O-X4)."""
-    out = text
-    for header in reversed(headers):
-        h = f"(?iU){header}"
-        head = before(text, h)
-        rest = F.substring(text, F.length(head) + 1, F.length(text))
-        cut = text
-        for end in reversed(ends):
-            e = f"(?iU){end}"
-            tail = F.substring(rest, F.length(before(rest, e)) + 1, F.length(rest))
-            cut = F.when(rest.rlike(e), F.concat(head, tail)).otherwise(cut)
-        out = F.when(text.rlike(h), cut).otherwise(out)
-    return out
 
+    def cut(h: Column) -> Column:
+        head = before(text, h)
+        return let(head, lambda head: let(F.substring(text, F.length(head) + 1, F.length(text)), lambda rest: joined(head, rest)))
 
-_DOTS = re.compile(r"(\d)\s+\.\s+(\d)")
-_DIGITS = re.compile(r"(\d)\s+(\d)")
+    def joined(head: Column, rest: Column) -> Column:
+        found = first_found(rest, ends, "(?iU)")
+        tail = lambda e: F.substring(rest, F.length(before(rest, e)) + 1, F.length(rest))
+        return let(found, lambda e: F.when(e.isNotNull(), F.concat(head, tail(e))).otherwise(text))
 
+    return let(first_found(text, headers, "(?iU)"), lambda h: F.when(h.isNotNull(), cut(h)).otherwise(text))
 
-def _plain_math(text: str | None) -> str | None:
-    def tidy(m: re.Match) -> str:
-        return _DIGITS.sub(r"\1\2", _DOTS.sub(r"\1.\2", m[1]))
 
-    if text is None or "$" not in text:
-        return text
-    return re.sub(r"\$\s*([^$]+)\s*\$", tidy, re.sub(r"\$\s*\(\s*([^)]+)\s*\)\s*\$", tidy, text))
+def within(text: Column, pattern: str, group: int, change: Callable[[Column], Column]) -> Column:
+    """Each match of a pattern replaced by what a change makes of one of its groups."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    parts = F.zip_with(gaps, hits, lambda gap, hit: F.concat(gap, F.coalesce(change(hit), F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
 
 
 def plain_math(text: Column) -> Column:
     """Text between dollar signs without them, digits put together."""
-    return python(_plain_math, "string", text)
+
+    def tidy(hit: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(hit, r"(?U)(\d)\s+\.\s+(\d)", "$1.$2"), r"(?U)(\d)\s+(\d)", "$1$2")
+
+    out = within(text, r"(?U)\$\s*\(\s*([^)]+)\s*\)\s*\$", 1, tidy)
+    return within(out, r"(?U)\$\s*([^$]+)\s*\$", 1, tidy)
 
 
 def clean_latex(text: Column, units=vocab.LATEX_UNITS) -> Column:
-    """LaTeX as plain text (O-X5). Only the digits between dollar signs need Python, on rows that
-    have any."""
+    """LaTeX as plain text (O-X5)."""
     out = F.regexp_replace(text, r"(?U)\s*~\s*", " ")
     out = F.regexp_replace(out, r"(?U)\\mathrm\s*\{([^}]*)\}", "$1")
     for pattern, unit in units:
         out = F.regexp_replace(out, f"(?iU){pattern}", unit)
     out = F.regexp_replace(F.regexp_replace(out, r"(?U)\\mu\s+", "μ"), r"\\mu([A-Z])", "μ$1")
-    out = F.when(out.contains("$"), plain_math(out)).otherwise(out)
+    out = F.when(out.contains("$"), plain_math(out)).otherwise(out)  # most texts have none
     return F.regexp_replace(F.regexp_replace(out, r"(?U)\\[a-zA-Z]+\s*", ""), r"[\$\{\}]", "")
 
 
@@ -233,10 +244,12 @@ def parse_records(answer: str | None) -> list[str]:
 
 
 def records_column(answer: Column) -> Column:
-    """parse_records; answers that are a plain list need no Python."""
+    """parse_records. Spark calls a Python function for every row, whatever stands around it, so answers that
+    are a plain list are sent to it as null and cost next to nothing there."""
     plain = F.from_json(answer, "array<string>")
     is_list = answer.rlike(r"(?s)\A\s*\[\s*\{.*\}\s*\]\s*\z") & F.try_parse_json(answer).isNotNull()
-    return F.when(is_list, plain).otherwise(python(parse_records, "array<string>", answer))
+    hard = F.when(~F.coalesce(is_list, F.lit(False)), answer)
+    return F.when(is_list, plain).otherwise(python(parse_records, "array<string>", hard))
 
 
 def tool_call(answer: Column) -> Column:

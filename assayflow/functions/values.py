@@ -45,6 +45,16 @@ CONCENTRATION = ("μM", (
 RATE = ("s^-1", (
     (("min^-1", "min-1", "/min"), "/", 60), (("h^-1", "h-1", "/h", "hr^-1"), "/", 3600), (("s^-1", "s-1", "/s"), "*", 1),
 ))
+# What prompts ask for besides, the superscript spellings and the catalytic efficiency.
+PROMPT_RATE = ("s^-1", (
+    (("min⁻¹", "min^-1", "min-1", "/min"), "/", 60), (("h⁻¹", "h^-1", "h-1", "/h"), "/", 3600),
+    (("s⁻¹", "s^-1", "s-1", "/s"), "*", 1),
+))
+EFFICIENCY = ("M^-1 s^-1", (
+    (("mm⁻¹s⁻¹", "mm^-1s^-1", "mm-1s-1", "/mm/s"), "*", 1000), (("μm⁻¹s⁻¹", "um-1s-1", "μm^-1s^-1", "/μm/s"), "*", 1000000),
+    (("m⁻¹min⁻¹", "m^-1min^-1", "m-1min-1", "/m/min"), "/", 60), (("mm⁻¹min⁻¹", "mm^-1min^-1", "mm-1min-1", "/mm/min"), "*", 1000 / 60),
+    (("m⁻¹s⁻¹", "m^-1s^-1", "m-1s-1", "/m/s"), "*", 1),
+))
 TIME = ("h", (
     (("min", "mins", "minutes"), "/", 60), (("s", "sec", "seconds"), "/", 3600), (("d", "day", "days"), "*", 24),
     (("h", "hr", "hrs", "hours"), "*", 1),
@@ -172,3 +182,29 @@ def sequence_availability(sequence: Column, ids: list[Column], gene: Column) ->
         .when(F.coalesce(gene, F.lit("")) != "", "gene_name_only")
         .otherwise("none")
     )
+
+
+# A table header's meaning, and what makes it none of them.
+HEADERS = (
+    ("kcat_Km_value", r"k\s*_?cat\s*/\s*k\s*_?m|catalytic efficiency|specificity constant"),
+    ("kcat_value", r"k\s*_?cat|turnover (?:number|rate)|v_?max\s*/\s*\[?e_?0?\]?"),
+    ("Km_value", r"^\s*k\s*_?m\b|michaelis"),
+)
+HEADER_REJECTS = r"mg\s*(?:-1|⁻¹|\^-1)|/\s*mg|,\s*app|apparent|inhibit|relative"
+
+
+def header_field(header: Column) -> Column:
+    """The record field that a table's column header means (O-R3); null for none: rates by mass, apparent and
+    conditional values don't count."""
+    low = F.lower(F.coalesce(header, F.lit("")))
+    out = F.lit(None).cast("string")
+    for field, pattern in reversed(HEADERS):
+        out = F.when(low.rlike(pattern), field).otherwise(out)
+    return F.when(~low.rlike(HEADER_REJECTS), out)
+
+
+def caption_conditions(caption: Column) -> Column:
+    """struct(ph, temperature_value, temperature_unit) that a table's caption states for all its rows (O-R7)."""
+    ph = F.regexp_extract(caption, r"(?i)\bpH\s*(?:=|of|was)?\s*(\d+(?:\.\d+)?)", 1).try_cast("double")
+    t = F.regexp_extract(caption, r"(-?\d+(?:\.\d+)?)\s*°\s*C", 1).try_cast("double")
+    return F.struct(ph.alias("ph"), t.alias("temperature_value"), F.when(t.isNotNull(), "°C").alias("temperature_unit"))

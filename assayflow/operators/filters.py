@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +13,26 @@ from ..functions.text import strip
 from ..schema import any_of, holds_any
 
 
+def _one_of(words: list[str]) -> Callable[[Column], Column]:
+    return lambda x: x.isin(*words)
+
+
 def keyword_hits(text: Column, keywords, words: bool = True) -> Column:
     """Sum of each keyword's matches, ignoring case; overlapping keywords count each on their own. A
-    keyword is a pattern; with words it must stand between word boundaries."""
+    keyword is a pattern; with words it must stand between word boundaries. Keywords that are a single
+    plain word are looked up among the text's words, all in one pass; only the others take a pass each."""
+    plain = [k.lower() for k in keywords if words and re.fullmatch(r"\w+", k)]
     total = F.lit(0)
+    if plain:
+        tally = {w: plain.count(w) for w in plain}
+        tokens = F.split(F.lower(text), r"(?U)\W+")
+        for times in sorted(set(tally.values())):
+            some = [w for w, n in tally.items() if n == times]
+            total = total + times * F.size(F.filter(tokens, _one_of(some)))
     for k in keywords:
-        pattern = f"(?iu)\\b{k}\\b" if words else f"(?iu){k}"
-        total = total + F.regexp_count(text, F.lit(pattern))
-    return total
+        if k.lower() not in plain:
+            total = total + F.regexp_count(text, F.lit(f"(?iU)\\b{k}\\b" if words else f"(?iU){k}"))
+    return F.when(text.isNotNull(), total)
 
 
 def precheck(
@@ -125,10 +140,6 @@ def bio_paragraphs(
     """key, excerpt: the paragraphs that carry identifying facts (O-F17). Paragraphs of 30 characters
     or more, once each by their first 100, that match a pattern, two of the row's own words, or are a
     short section title. Fewer than three: the head of the text instead."""
-    sections = (
-        "materials and methods", "methods", "materials", "experimental", "strains", "cloning", "expression",
-        "purification", "characterization", "sequence",
-    )
     paras = F.split(F.col(text_col), r"\n\s*\n")
     paras = F.when(F.size(paras) < 5, F.split(F.col(text_col), r"(?<=[.!?])\s+")).otherwise(paras)
     own = F.col(words_col) if words_col else F.array().cast("array<string>")
@@ -136,7 +147,7 @@ def bio_paragraphs(
     def relevant(p: Column) -> Column:
         low = F.lower(p)
         custom = F.size(F.filter(own, lambda w: (F.length(w) > 2) & low.contains(F.lower(w)))) >= 2
-        return any_of([p.rlike(f"(?i){x}") for x in patterns]) | custom | (holds_any(low, sections) & (F.length(p) < 200))
+        return any_of([p.rlike(f"(?i){x}") for x in patterns]) | custom | (holds_any(low, vocab.BIO_SECTIONS) & (F.length(p) < 200))
 
     kept = F.filter(F.transform(paras, strip), lambda p: (F.length(p) >= 30) & relevant(p))
     heads = F.transform(kept, lambda p: F.lower(F.substring(p, 1, 100)))

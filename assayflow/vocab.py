@@ -151,6 +151,11 @@ BIO_PATTERNS = (
     r"(?:sequence|cloning|PCR|amplif)", r"(?:SDS-PAGE|gel\s+electrophoresis)",
 )
 
+BIO_SECTIONS = (
+    "materials and methods", "methods", "materials", "experimental", "strains", "cloning", "expression",
+    "purification", "characterization", "sequence",
+)
+
 # Names.
 TAGS = (
     r"^(His\d+)-", r"^(\d+xHis)-", r"^(His)-", r"^(GST|MBP|SUMO|Trx|NusA|DsbA)-",
