@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import block_number, split_column, strip
+from ..functions.text import block_number, cut_markdown_references, split_column, strip
 
 
 def block_text() -> Column:
@@ -61,7 +61,7 @@ def merge_text_blocks(
     merged = runs.select(paper, F.inline(F.aggregate("parts", start, grow, lambda a: a["out"])))
     texts = merged.select(
         paper, F.col("o").alias(order), F.lit("text").alias("type"),
-        F.posexplode(F.when(F.length("t") <= size, F.array("t")).otherwise(split_column(F.col("t"), size))).alias("part", "content"),
+        F.posexplode(F.when(F.length("t") <= size, F.array("t")).otherwise(split_column(F.when(F.length("t") > size, F.col("t")), size))).alias("part", "content"),
     )
     others = blocks.where(F.col("type").isin("equation", "table", "image")).select(
         paper, order, "type", F.lit(0).alias("part"), F.col("text").alias("content")
@@ -131,7 +131,41 @@ def global_context(papers: DataFrame, blocks: DataFrame, words: str = "words", m
     return first.groupBy("paper_name").agg(F.substring(text, 1, most).alias("context"))
 
 
-def numbered_batches(rows: DataFrame, size: int, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds batch: rows in order, `size` to a batch (O-O4)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+def cut_points(rows: DataFrame, order: str, parts: int, seen: int = 1024) -> list:
+    """Values of a column that cut it into about equal parts: from `seen` rows by hash. They only say where
+    work is cut."""
+    some = rows.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(seen)
+    values = sorted({r[0] for r in some.collect()})
+    return values[:: max(1, -(-len(values) // parts))][1:]
+
+
+def numbered_batches(rows: DataFrame, size: int, *order: str, by: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
+    """Adds batch: rows in order, `size` to a batch (O-O4). Without a key, the order's first column is cut into
+    parts that are numbered each on their own, from the number of rows before them."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    cuts = cut_points(rows, order[0], parts)
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(order[0]) >= c)) if cuts else F.lit(0)
+    cut = rows.withColumn("__part", F.coalesce(part, F.lit(0)))
+    before, starts = 0, []
+    for r in sorted(cut.groupBy("__part").count().collect()):
+        starts.append((r[0], before))
+        before += r[1]
+    start = F.broadcast(rows.sparkSession.createDataFrame(starts, "__p int, __before bigint"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    numbered = cut.withColumn("__at", place).join(start, F.col("__part") == F.col("__p"))
+    return numbered.withColumn("batch", F.floor((F.col("__at") + F.col("__before")) / size).cast("int")).drop("__part", "__p", "__at", "__before")
+
+
+def original_text(papers: DataFrame, blocks: DataFrame, most: int = 100_000, mark: str = "\n\n[... text cut ...]") -> DataFrame:
+    """paper_name, text for an aggregating model (O-X11): the paper's own text (papers: paper_name, text)
+    without its references, else its text and table blocks in order, cut to a length with a mark."""
+    body = F.coalesce("content", "text", F.lit(""))
+    item = F.when(F.col("type") == "text", body).when(F.col("type") == "table", F.concat(F.lit("[TABLE]\n"), body))
+    parts = blocks.select("paper_name", F.struct(F.col("block_id").alias("i"), item.alias("t")).alias("x")).where("x.t is not null")
+    parts = parts.groupBy("paper_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n\n").alias("__b"))
+    own = F.nullif(cut_markdown_references(F.coalesce("text", F.lit(""))), F.lit(""))
+    text = F.coalesce(own, "__b", F.lit(""))
+    cut = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
+    return papers.join(parts, "paper_name", "left").select("paper_name", cut.alias("text"))
