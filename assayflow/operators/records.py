@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions.values import caption_conditions
 from ..schema import RECORD_DDL, any_of, blank, count_true, filled, first_held, holds_any, known
 
 ORDER = ("paper_name", "rec_idx")
@@ -14,14 +15,33 @@ ORDER = ("paper_name", "rec_idx")
 # ---------------------------------------------------------------- projections
 
 
-def clean_duplicate_fields(raw: DataFrame, record_col: str = "record", keep: tuple[str, ...] = ()) -> DataFrame:
-    """From a VARIANT record, the schema's fields; three old names stand in where the new name is
-    absent (a new name that holds null wins). Other keys go, but for `keep` as extra columns (O-P2)."""
-    old = {"temperature_value": "temperature", "ph": "pH", "optimal_temperature_value": "optimal_temperature"}
+# Keys besides the schema's that a clean-up keeps, and three old names.
+KEPT_KEYS = (
+    "thermal_stability", "thermal_stability_unit", "thermal_stability_time", "thermal_stability_time_unit",
+    "_aggregation_notes", "_model_comparison", "_confidence", "_source_location", "_id", "_source_file", "_source_model",
+    "_source_block_id", "_source_type", "source_in_document", "block_id",
+)
+OLD_KEYS = {"temperature_value": "temperature", "ph": "pH", "optimal_temperature_value": "optimal_temperature"}
+
+
+def other_keys(raw: DataFrame, record_col: str = "record") -> Column:
+    """Keys of a VARIANT record that a clean-up drops, sorted (O-U3)."""
+    keys = F.json_object_keys(F.to_json(F.col(record_col)))
+    return F.array_sort(F.array_except(keys, F.array(*map(F.lit, [*RECORD_DDL, *KEPT_KEYS, *OLD_KEYS.values()]))))
+
+
+def clean_duplicate_fields(raw: DataFrame, record_col: str = "record", keep: tuple[str, ...] = KEPT_KEYS) -> DataFrame:
+    """From a VARIANT record, the schema's fields, and `keep` as text columns (a nested value as JSON); three
+    old names stand in where the new name is absent (a new name that holds null wins). Other keys go
+    (O-P2). A key that the frame has as a column already gives way to it."""
+    keep = tuple(k for k in keep if k not in raw.columns)
+    old = OLD_KEYS
     keys = F.json_object_keys(F.to_json(F.col(record_col)))
     cols = []
     for name, kind in {**RECORD_DDL, **dict.fromkeys(keep, "string")}.items():
         value = F.try_variant_get(F.col(record_col), f"$.{name}", kind)
+        if name in keep:
+            value = F.coalesce(value, F.nullif(F.to_json(F.try_variant_get(F.col(record_col), f"$.{name}", "variant")), F.lit("null")))
         if name in old:
             before = F.try_variant_get(F.col(record_col), f"$.{old[name]}", kind)
             value = F.when(~F.array_contains(keys, name), before).otherwise(value)
@@ -182,11 +202,13 @@ def known_substrate(names=vocab.KNOWN_SUBSTRATES) -> Column:
 def substrate_filter(records: DataFrame, names=vocab.KNOWN_SUBSTRATES, accepted: DataFrame | None = None) -> DataFrame:
     """Records of known substrates; of the others those whose exact name is in accepted (substrate), a
     table of names judged once each. Without it all unknown ones go (O-F12)."""
-    known_rows = records.where(known_substrate(names))
+    known_row = F.coalesce(known_substrate(names), F.lit(False))
     if accepted is None:
-        return known_rows
-    unknown = records.where(~F.coalesce(known_substrate(names), F.lit(False)))
-    return known_rows.unionByName(unknown.join(accepted.select("substrate").distinct(), "substrate", "left_semi").select(*records.columns))
+        return records.where(known_row)
+    judged = accepted.select(F.col("substrate").alias("__judged")).distinct()
+    # Rows that are known already ask for no name, so a frequent one isn't shuffled to one task.
+    asks = F.when(~known_row, F.col("substrate"))
+    return records.join(judged, asks == F.col("__judged"), "left").where(known_row | F.col("__judged").isNotNull()).select(*records.columns)
 
 
 def unknown_substrates(records: DataFrame, names=vocab.KNOWN_SUBSTRATES) -> DataFrame:
@@ -199,10 +221,11 @@ def unknown_substrates(records: DataFrame, names=vocab.KNOWN_SUBSTRATES) -> Data
 
 def fill_within_paper(
     records: DataFrame, basic=("enzyme_full_name", "enzyme_type", "ec_number", "gene_name"),
-    conditions=("optimal_ph", "optimal_temperature_value", "optimal_temperature_unit"),
+    conditions=("optimal_ph", "optimal_temperature_value", "optimal_temperature_unit"), unknown: tuple[str, ...] = (),
 ) -> DataFrame:
     """Blank fields from the paper's other records of the same enzyme name (O-G3): basic fields from
     the best record that has them, optimum fields from the best of the same organism and variant.
+    Texts in `unknown` count as blank in basic fields.
     Templates use the values from before. The organism/strain step of the same rule fills nothing,
     as its key is what it fills."""
     rank = [
@@ -228,8 +251,11 @@ def fill_within_paper(
     for fields, window in ((basic, enzyme), (conditions, same)):
         for f in fields:
             kind = RECORD_DDL[f]
-            best = F.first(known(F.col(f), kind), ignorenulls=True).over(window)
-            new[f] = F.when(named & blank(F.col(f), kind), F.coalesce(best, F.col(f))).otherwise(F.col(f))
+            missing = blank(F.col(f), kind)
+            if unknown and fields is basic and kind == "string":
+                missing = missing | F.col(f).isin(*unknown)
+            best = F.first(F.when(~missing, F.col(f)), ignorenulls=True).over(window)
+            new[f] = F.when(named & missing, F.coalesce(best, F.col(f))).otherwise(F.col(f))
     return rows.withColumns(new).drop("__variant")
 
 
@@ -266,6 +292,23 @@ def fill_conditions(records: DataFrame, conditions: DataFrame, path_order: str =
     ).select(*records.columns)
 
 
+def apply_caption(records: DataFrame, captions: DataFrame, keys: tuple[str, ...] = ("paper_name", "block_id")) -> DataFrame:
+    """Conditions of a table's caption in those of its rows that state none (O-R7). captions: keys, caption."""
+    c = captions.select(*keys, caption_conditions(F.col("caption")).alias("__c"))
+    out = records.join(c, list(keys), "left")
+    by = {x: F.coalesce(x, f"__c.{x}") for x in ("ph", "temperature_value")}
+    unit = F.when(F.col("temperature_value").isNull(), F.col("__c.temperature_unit")).otherwise(F.col("temperature_unit"))
+    return out.withColumns({"temperature_unit": unit, **by}).select(*records.columns)
+
+
+def optimum(measured: DataFrame, keys: tuple[str, ...], value: str = "temperature", activity: str = "activity", kept: float = 0.0) -> DataFrame:
+    """keys, optimum (the value of the highest activity, the lowest such) and highest_stable (the highest value
+    with more than `kept` activity), from rows of a profile (O-R6)."""
+    known_rows = measured.where(F.col(value).isNotNull() & F.col(activity).isNotNull())
+    best = F.max(F.struct(F.col(activity).alias("a"), (-F.col(value)).alias("v")))["v"]
+    return known_rows.groupBy(*keys).agg((-best).alias("optimum"), F.max(F.when(F.col(activity) > kept, F.col(value))).alias("highest_stable"))
+
+
 # ---------------------------------------------------------------- checks after merging
 
 

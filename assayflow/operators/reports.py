@@ -73,7 +73,7 @@ def failure_patterns(records: DataFrame) -> DataFrame:
 
 def low_quality_sample(records: DataFrame, most: int = 20, worst: int = 2, seed: int = 0) -> DataFrame:
     """A sample of records of a score up to `worst`; the same for the same seed (O-O2)."""
-    key = F.xxhash64("paper_name", "rec_idx", F.lit(seed))
+    key = F.md5(F.concat_ws(":", F.col("paper_name").cast("string"), F.col("rec_idx").cast("string"), F.lit(seed).cast("string")))
     return records.where(F.coalesce(S, F.lit(0)) <= worst).orderBy(key, "paper_name", "rec_idx").limit(most)
 
 
@@ -146,14 +146,26 @@ def verification_summary(checks: DataFrame) -> DataFrame:
     )
 
 
-def run_statistics(papers: DataFrame, records: DataFrame) -> DataFrame:
-    """Papers by outcome, records by source, mean seconds (O-G19). papers: status, seconds."""
+def run_statistics(papers: DataFrame, records: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """Papers by outcome, records by source, mean seconds, and with merged records their number and what the
+    merge took away (O-G19). papers: status, seconds."""
     p = papers.agg(
         F.count("*").alias("papers"), *[F.count_if(F.col("status") == s).alias(s) for s in ("processed", "skipped", "failed")],
         F.avg(F.when(F.col("status") == "processed", F.col("seconds"))).alias("avg_seconds"),
     )
     r = records.agg(F.count("*").alias("records"), *[F.count_if(F.col("source_type") == s).alias(f"{s}_records") for s in ("table", "text", "figure")])
-    return p.crossJoin(r)
+    out = p.crossJoin(r)
+    if merged is None:
+        return out
+    out = out.crossJoin(merged.agg(F.count("*").alias("merged_records")))
+    return out.withColumn("merged_away", F.col("records") - F.col("merged_records"))
+
+
+def summed_runs(runs: DataFrame) -> DataFrame:
+    """Statistics of several batches as one (O-G19): counts add up, mean seconds by papers processed."""
+    counts = [c for c in runs.columns if c != "avg_seconds"]
+    mean = F.sum(F.col("avg_seconds") * F.col("processed")) / F.nullif(F.sum(F.when(F.col("avg_seconds").isNotNull(), F.col("processed"))), F.lit(0))
+    return runs.agg(*[F.sum(c).alias(c) for c in counts], mean.alias("avg_seconds"))
 
 
 def last_batch_wins(batches: DataFrame, key: str = "paper_name", batch: str = "batch") -> DataFrame:

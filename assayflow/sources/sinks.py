@@ -65,6 +65,32 @@ def write_report(report: DataFrame, path: str, kind: str = "json") -> None:
     out.option("header", "true").csv(path) if kind == "csv" else out.json(path)
 
 
+def write_ablation(configurations: DataFrame, gold: DataFrame, usage: DataFrame, path: str) -> None:
+    """The files of an ablation (O-K7, O-K8): predictions (a JSON list for each paper and configuration), scores
+    by field and overall (best F1 first), usage records and tokens by task."""
+    from ..operators.evaluation import ablation_metrics
+    from ..operators.reports import tokens_by_task
+
+    cols = [c for c in FIELDS if c in configurations.columns]
+    item = F.struct(F.col("rec_idx").alias("__i"), F.struct(*cols).alias("r"))
+    each = configurations.groupBy("paper_name", "doi", "config").agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"])).alias("records"), F.count("*").alias("record_count")
+    )
+    each.write.mode("overwrite").json(f"{path}/predictions")
+    by_field, overall = ablation_metrics(configurations, gold)
+    write_report(by_field, f"{path}/metrics_by_field", "csv")
+    write_report(overall, f"{path}/metrics_overall", "csv")
+    usage.write.mode("overwrite").option("header", "true").csv(f"{path}/usage_records")
+    write_report(tokens_by_task(usage), f"{path}/usage_by_task", "csv")
+
+
+def write_run(records: DataFrame, statistics: DataFrame, failed: DataFrame, path: str) -> None:
+    """The final records, the run's statistics and the papers that failed (O-K2). failed: paper_name, error."""
+    write_final(records, f"{path}/records")
+    write_report(statistics, f"{path}/statistics")
+    failed.write.mode("overwrite").json(f"{path}/failed")
+
+
 def relational(records: DataFrame) -> dict[str, DataFrame]:
     """enzymes, substrates, kinetic_parameters and products with surrogate keys (O-K11). Keys are hashes
     of the natural keys, so no table is numbered in one task; of a substrate's structures the last
@@ -72,12 +98,14 @@ def relational(records: DataFrame) -> dict[str, DataFrame]:
     key = lambda *c: F.xxhash64(*[F.coalesce(F.col(x), F.lit("")) for x in c])
     rows = records.withColumns({"enzyme_id": key("enzyme_name", "organism"), "substrate_id": key("substrate")})
     order = F.struct("paper_name", "rec_idx")
+    # Null and empty text have one key; the name is then empty.
+    named = lambda c: F.max(F.coalesce(c, F.lit(""))).alias(c)
     enzymes = rows.groupBy("enzyme_id").agg(
-        F.first("enzyme_name").alias("enzyme_name"), F.first("organism").alias("organism"),
+        named("enzyme_name"), named("organism"),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("enzyme_full_name", "ec_number", "uniprot_id")],
     )
     substrates = rows.groupBy("substrate_id").agg(
-        F.first("substrate").alias("substrate_name"),
+        F.max(F.coalesce("substrate", F.lit(""))).alias("substrate_name"),
         F.max_by("substrate_smiles", F.when(F.col("substrate_smiles").isNotNull(), order)).alias("smiles"),
     )
     values = ["Km_value", "Km_unit", "kcat_value", "kcat_unit", "kcat_Km_value", "kcat_Km_unit", "degradation_efficiency"]
