@@ -318,49 +318,41 @@ def failure_patterns(spark, sf):
     return reports.failure_patterns(scored(spark, sf).where("confidence_score <= 2"))
 
 
-@query()
+@query(with_records("SELECT paper_name, rec_idx, confidence_score FROM scored WHERE confidence_score <= 2 ORDER BY md5(paper_name || ':' || rec_idx || ':0'), paper_name, rec_idx LIMIT 20", True))
 def low_quality_sample(spark, sf):
     return reports.low_quality_sample(scored(spark, sf)).select(*KEY, "confidence_score")
 
 
-_CONSTRAINT_SQL = with_records(
-    """, low AS (SELECT *, lower(substrate) AS s, lower(coalesce(notes, '')) AS nt FROM rec), q AS (SELECT paper_name, rec_idx,
-    CASE WHEN contains(nt, 'crude extract') THEN 'Crude extract/mixture detected: ''crude extract'''
+# Each of the three checks, in their order, on records that are made to fail it.
+_CONSTRAINT_SQL = """, low AS (SELECT paper_name, rec_idx, lower(substrate) AS s, lower(coalesce(notes, '')) AS nt, ec_number,
+      CASE WHEN rec_idx % 9 = 0 THEN 'made less toxic' WHEN rec_idx % 9 = 1 THEN 'an Epoxide forms' ELSE '' END AS extra FROM rec),
+    q AS (SELECT *, CASE WHEN ec_number IS NULL AND contains(nt, 'crude extract') THEN 'Crude extract/mixture detected: ''crude extract'''
       WHEN contains(s, 'medium') THEN 'Non-mycotoxin substrate: ''' || s || ''''
-      WHEN contains(s, 'economy') OR contains(s, 'standard') OR contains(s, 'promo') THEN NULL
-      ELSE 'Unknown substrate ''' || s || ''' (strict mode)' END AS r1, product, toxicity_change,
-      NULL AS strict_seq FROM low),
-    c AS (SELECT paper_name, rec_idx, r1 AS reject_reason, CASE WHEN r1 IS NULL THEN 'passed' WHEN contains(lower(r1), 'crude') THEN 'no_sequence' ELSE 'non_mycotoxin' END AS reject_bucket FROM q)"""
-)
+      WHEN contains(extra, 'Epoxide') THEN 'Bioactivation detected: ''epoxide''' END AS reject_reason FROM low),
+    c AS (SELECT *, CASE WHEN reject_reason IS NULL THEN 'passed' WHEN contains(reject_reason, 'Crude') THEN 'no_sequence' WHEN contains(reject_reason, 'substrate') THEN 'non_mycotoxin' ELSE 'bioactivation' END AS reject_bucket FROM q)"""
 
 
 def _constrained(spark, sf):
-    rows = records(spark, sf)
-    reason = F.coalesce(
-        R.sequence_reason(), R.substrate_reason(True, SUBSTRATES, OTHER_SUBSTRATES), R.detox_reason()
-    )
-    checked = R.quality_constraints(rows, False, SUBSTRATES, OTHER_SUBSTRATES).drop("reject_reason")
-    text = F.lower(reason)
-    bucket = F.when(reason.isNull(), "passed").when(text.contains("crude"), "no_sequence").otherwise("non_mycotoxin")
-    return checked.withColumns({"reject_reason": reason, "reject_bucket": bucket})
+    extra = F.when(F.col("rec_idx") % 9 == 0, "made less toxic").when(F.col("rec_idx") % 9 == 1, "an Epoxide forms")
+    rows = records(spark, sf).withColumns({"uniprot_id": F.col("ec_number"), "notes": F.concat_ws("; ", "notes", extra)})
+    return R.quality_constraints(rows, False, SUBSTRATES, OTHER_SUBSTRATES)
 
 
-@query(_CONSTRAINT_SQL + "SELECT paper_name, rec_idx, reject_reason, reject_bucket FROM c")
+@query(with_records(_CONSTRAINT_SQL + " SELECT paper_name, rec_idx, reject_reason, reject_bucket FROM c"))
 def quality_constraints(spark, sf):
     return _constrained(spark, sf).select(*KEY, "reject_reason", "reject_bucket")
 
 
 @query(
     with_records(
-        """, low AS (SELECT lower(substrate) AS s, lower(coalesce(notes, '')) AS nt FROM rec), b AS (SELECT CASE WHEN contains(nt, 'crude extract') THEN 'no_sequence'
-    WHEN contains(s, 'medium') THEN 'non_mycotoxin' ELSE 'passed' END AS b FROM low)
-    SELECT count(*) AS total, count(*) FILTER (b = 'passed') AS passed, count(*) FILTER (b <> 'passed') AS rejected, count(*) FILTER (b = 'no_sequence') AS rejected_no_sequence,
-    count(*) FILTER (b = 'non_mycotoxin') AS rejected_non_mycotoxin, 0 AS rejected_bioactivation, 0 AS rejected_other,
-    100.0::DOUBLE * count(*) FILTER (b <> 'passed') / count(*) AS rejection_rate FROM b"""
+        _CONSTRAINT_SQL
+        + """ SELECT count(*) AS total, count(*) FILTER (reject_bucket = 'passed') AS passed, count(*) FILTER (reject_bucket <> 'passed') AS rejected,
+    count(*) FILTER (reject_bucket = 'no_sequence') AS rejected_no_sequence, count(*) FILTER (reject_bucket = 'non_mycotoxin') AS rejected_non_mycotoxin,
+    count(*) FILTER (reject_bucket = 'bioactivation') AS rejected_bioactivation, 0 AS rejected_other, 100.0::DOUBLE * count(*) FILTER (reject_bucket <> 'passed') / count(*) AS rejection_rate FROM c"""
     )
 )
 def constraint_stats(spark, sf):
-    return R.constraint_stats(R.quality_constraints(records(spark, sf), False, SUBSTRATES, OTHER_SUBSTRATES))
+    return R.constraint_stats(_constrained(spark, sf))
 
 
 @query(
@@ -506,13 +498,12 @@ def provenance_labels(spark, sf):
     return R.provenance(records(spark, sf), F.lit(7)).select(*KEY, "block_label")
 
 
-_CONDITIONS_SQL = """, c AS (SELECT s_suppkey AS p, 0 AS i, 'brand#1' AS e, NULL AS m, 7.5 AS ph, NULL::DOUBLE AS t FROM supplier UNION ALL
-    SELECT s_suppkey, 1, 'brand#2', 'e186r', NULL, 37.0 FROM supplier UNION ALL SELECT s_suppkey, 2, 'brand', 'E186R', 9.0, 50.0 FROM supplier),
-    j AS (SELECT paper_name, rec_idx, min(CASE WHEN ph IS NOT NULL THEN {'i': i, 'v': ph} END) AS bp, min(CASE WHEN t IS NOT NULL THEN {'i': i, 'v': t} END) AS bt
-      FROM (SELECT paper_name, rec_idx, lower(coalesce(enzyme_name, '')) AS n, mutations AS mu FROM rec) r JOIN c ON paper_name = p
-      AND (contains(n, e) OR contains(e, n)) AND ((m IS NULL AND mu IS NULL) OR upper(m) = upper(mu)) GROUP BY ALL)
-    SELECT paper_name, rec_idx, coalesce(optimal_ph::DOUBLE, bp.v::DOUBLE) AS optimal_ph, bt.v AS optimal_temperature_value,
-      CASE WHEN bt IS NOT NULL THEN '°C' END AS optimal_temperature_unit FROM rec LEFT JOIN j USING (paper_name, rec_idx)"""
+# Of the three condition rows of every paper, those that fit a record by name and variant, in order.
+_CONDITIONS_SQL = """, n AS (SELECT paper_name, rec_idx, optimal_ph::DOUBLE AS ph, lower(coalesce(enzyme_name, '')) AS n, mutations AS m FROM rec),
+    f AS (SELECT *, (contains(n, 'brand#1') OR contains('brand#1', n)) AND m IS NULL AS first, coalesce((contains(n, 'brand#2') OR contains('brand#2', n)) AND m = 'E186R', false) AS second,
+      coalesce((contains(n, 'brand') OR contains('brand', n)) AND m = 'E186R', false) AS third FROM n)
+    SELECT paper_name, rec_idx, coalesce(ph, CASE WHEN first THEN 7.5::DOUBLE WHEN third THEN 9.0::DOUBLE END) AS optimal_ph,
+      CASE WHEN second THEN 37.0::DOUBLE WHEN third THEN 50.0::DOUBLE END AS optimal_temperature_value, CASE WHEN second OR third THEN '°C' END AS optimal_temperature_unit FROM f"""
 
 
 @query(with_records(_CONDITIONS_SQL))
@@ -547,17 +538,6 @@ def _split(spark, sf):
     return rows.where("model = 'm1' OR model = 'm2'"), rows.where("model = 'm0'")
 
 
-@query()
-def gold_alignment(spark, sf):
-    a = evaluation.align(*_split(spark, sf))
-    return a.select("doi", F.posexplode("pairs").alias("gold", "prediction"))
-
-
-@query()
-def field_prf1(spark, sf):
-    return evaluation.field_metrics(evaluation.align(*_split(spark, sf)))
-
-
 @query(
     with_records(
         """SELECT count(*) FILTER (model <> 'm0') AS predicted, count(*) FILTER (model = 'm0') AS gold,
@@ -746,10 +726,13 @@ def final_records(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from . import coverage  # noqa: F401  adds its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 

@@ -137,6 +137,20 @@ def test_merge(spark, seed):
     assert sorted(map(tuple, got.collect()), key=str) == slow_merge(rows)
 
 
+def test_merge_across_batches(spark):
+    """Entities of one record and of many, in Arrow batches of a few rows."""
+    rng = random.Random(5)
+    rows = [{"enzyme_name": rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 4), "substrate": "s", "Km_value": rng.choice([None, 1.0, 2.0]), "source_type": "text"} for _ in range(200)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = merging.merge_records(frame(spark, rows).coalesce(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    blank = {"ph": None, "organism": None}
+    assert sorted(((r.enzyme_name, r.substrate, r.Km_value, r.ph, r.organism, r.source_type) for r in got), key=str) == slow_merge([blank | r for r in rows])
+
+
 def test_merge_mutation_names(spark):
     rows = [
         {"enzyme_name": "E186R", "enzyme_full_name": "CotA-laccase", "substrate": "s", "source_type": "table"},
@@ -189,11 +203,40 @@ def test_alignment_and_metrics(spark):
         fp += sum(p["Km_value"] is not None for i, p in enumerate(ps) if i not in used)
         want[doi] = pairs
     aligned = evaluation.align(make(preds), make(gold))
-    assert {r.doi: list(r.pairs) for r in aligned.collect()} == want
+    got = {doi: [] for doi in want}
+    for r in sorted((r for r in aligned.collect() if r.gold is not None), key=lambda r: r.gold):
+        got[r.doi].append(r.prediction)
+    assert got == want
     km = next(r for r in evaluation.field_metrics(aligned).collect() if r.field == "Km_value")
     assert (km.tp, km.fp, km.fn) == (tp, fp, fn)
 
 
+def test_alignment_by_numbers(spark):
+    """Without a common name two numbers and the organism, or three numbers, make a pair; zero only fits zero."""
+    ddl = "doi string, rec_idx int, enzyme_name string, substrate string, organism string, Km_value double, kcat_value double, kcat_Km_value double, degradation_efficiency double"
+    gold = [("d", 0, "a", "s", "o", 10.0, 20.0, None, None), ("d", 1, "b", "t", None, 0.0, 5.0, 7.0, None), ("d", 2, "c", "u", "o", 1.0, None, None, None)]
+    preds = [
+        ("D ", 0, "x", "y", "o", 10.4, 20.9, None, None), ("d", 1, "x", "y", "z", 0.0, 5.0, 7.3, 1.0), ("d", 2, "x", "y", "o", 1.0, None, None, None),
+        ("d", 3, "x", "y", "z", 1e-13, 5.0, 7.0, None), ("e", 0, "a", "s", "o", 1.0, None, None, None), ("", 0, "a", "s", "o", 1.0, None, None, None),
+    ]
+    got = evaluation.align(spark.createDataFrame(preds, ddl).repartition(3), spark.createDataFrame(gold, ddl))
+    assert sorted((r.gold, r.prediction) for r in got.collect() if r.gold is not None) == [(0, 0), (1, 1), (2, -1)]
+    assert sorted(r.prediction for r in got.collect() if r.gold is None) == [2, 3]
+
+
+def test_ablation_metrics(spark):
+    gold = frame(spark, [{"enzyme_name": "a", "substrate": "s", "Km_value": 1.0}, {"enzyme_name": "b", "substrate": "t"}]).withColumn("doi", F.lit("10.1/x"))
+    runs = [("One", "a", "s", 1.0), ("One", "b", "t", None), ("two", "a", "s", 3.0), ("three", "q", "r", 9.0)]
+    rows = [{"rec_idx": i, "model": c, "enzyme_name": e, "substrate": s, "Km_value": k} for i, (c, e, s, k) in enumerate(runs)]
+    configs = frame(spark, rows).withColumn("config", F.col("model")).withColumn("doi", F.when(F.col("model") == "three", "10.1/y").otherwise("10.1/X"))
+    by_field, each = evaluation.ablation_metrics(configs, gold)
+    got = each.collect()
+    assert [(r.config, r.tp, r.fp, r.fn, r.predicted_records, r.matched_gold_dois, r.gold_records) for r in got] == [
+        ("One", 5, 0, 0, 2, 1, 2), ("two", 2, 1, 3, 1, 1, 2), ("three", 0, 0, 5, 1, 0, 2),
+    ]
+    assert {(r.config, r.tp) for r in by_field.collect() if r.field == "Km_value"} == {("One", 1), ("two", 0), ("three", 0)}
+
+
 # ---------------------------------------------------------------- blocks, sources, sinks, streams
 
 
@@ -264,9 +307,11 @@ def test_answers(spark):
 
 
 def test_clean_duplicate_fields(spark):
-    raw = spark.createDataFrame([(1, '{"temperature": 30, "pH": 7, "ph": null, "enzyme_name": "e", "other": 1}')], "k int, j string")
-    r = records.clean_duplicate_fields(raw.select("k", F.parse_json("j").alias("record"))).first()
-    assert (r.temperature_value, r.ph, r.enzyme_name) == (30.0, None, "e")
+    raw = spark.createDataFrame([(1, '{"temperature": 30, "pH": 7, "ph": null, "enzyme_name": "e", "other": 1, "thermal_stability": "9", "source_in_document": {"doi": "d"}}')], "k int, j string")
+    raw = raw.select("k", F.parse_json("j").alias("record"))
+    r = records.clean_duplicate_fields(raw).first()
+    assert (r.temperature_value, r.ph, r.enzyme_name, r.thermal_stability, r.source_in_document, r.block_id) == (30.0, None, "e", "9", '{"doi":"d"}', None)
+    assert "other" not in r and raw.select(records.other_keys(raw)).first()[0] == ["other"]
 
 
 def test_scores(spark):

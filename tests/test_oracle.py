@@ -6,14 +6,14 @@ from oracle import compare
 from assayflow.plans import queries as plans
 
 
-@pytest.mark.parametrize("name", sorted(plans.SQL))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_sql(spark, sf, name):
-    assert compare(spark, sf, name, plans.QUERIES[name], plans.SQL[name]) is None
+    assert compare(spark, sf, name, plans.queries()[name], plans.oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
+@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_rows(spark, sf, name):
-    assert plans.QUERIES[name](spark, sf).count() > 0
+    assert plans.queries()[name](spark, sf).count() > 0
 
 
 def test_entry(spark):
