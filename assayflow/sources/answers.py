@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import records_column
+from ..functions.text import records_column, tool_call
 from ..runtime import ship
 
 RESPONSES = (
@@ -85,9 +85,41 @@ def first_model_fallback(aggregated: DataFrame, students: DataFrame) -> DataFram
 
 
 def staged_answer(synthesis: Column, draft: Column) -> Column:
-    """Extractor, reviewer and synthesiser: an empty synthesis falls back to the draft (O-L5)."""
+    """Extractor, reviewer and synthesiser: an empty synthesis falls back to the draft, an empty draft
+    to no records (O-L5)."""
     empty = synthesis.isNull() | (F.size(records_column(synthesis)) == 0)
-    return F.when(empty, draft).otherwise(synthesis)
+    return F.when(empty, F.coalesce(draft, F.lit("[]"))).otherwise(synthesis)
+
+
+def ask_with_tools(requests: DataFrame, call: Callable[[dict], tuple[str, str]], tool: Column, rounds: int = 3, keep: Callable[[DataFrame, int], DataFrame] = lambda df, r: df, **retry) -> DataFrame:
+    """RESPONSES of a model that may ask for tools (O-L6). tool: the result of a request in column `call` (JSON
+    text), as a column. In each of `rounds` rounds the rows that ask for one are sent again with the result
+    below their prompt; one that still asks then has null text, for first_model_fallback. keep: stores a
+    round's answers, so that no call is made twice."""
+    done, left = None, requests
+    for r in range(rounds + 1):
+        said = keep(ask(left, call, **retry), r)
+        wants = said.withColumn("call", tool_call(F.col("response_text")))
+        final = wants.where("call is null" if r < rounds else "true")
+        final = final.withColumn("response_text", F.when(F.col("call").isNull(), F.col("response_text"))).drop("call")
+        done = final if done is None else done.unionByName(final)
+        if r == rounds:
+            break
+        asked = wants.where("call is not null").withColumn("__result", tool).drop("response_text", "usage")
+        ids = [c for c in requests.columns if c != "prompt"]
+        left = requests.alias("a").join(asked.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ids])
+        more = F.concat(F.col("a.prompt"), F.lit("\n\nTool result:\n"), F.coalesce(F.col("b.__result").cast("string"), F.lit("none")))
+        left = left.select(*[F.col(f"a.{c}") for c in ids], more.alias("prompt"))
+        requests = left
+    return done
+
+
+def table_answers(fused: DataFrame, text_only: DataFrame) -> DataFrame:
+    """Answers about tables: those read from image and text together, else from the text alone (O-L2). Both:
+    RESPONSES; a block counts as answered when its answer holds a record."""
+    keys = ["paper_name", "block_id", "model"]
+    good = fused.where(F.size(records_column(F.col("response_text"))) > 0)
+    return good.unionByName(text_only.join(good.select(*keys).distinct(), keys, "left_anti").select(*fused.columns))
 
 
 def prompt(template: str, **columns: Column) -> Column:

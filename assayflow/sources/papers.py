@@ -25,6 +25,14 @@ def paper_dirs(spark: SparkSession, root: str, limit: int | None = None) -> Data
     return names.limit(limit) if limit is not None else names
 
 
+def all_dirs(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
+    """paper_name of each folder that holds any file, by name (O-S1)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    inside = F.element_at(F.split("path", root.rstrip("/").rpartition("/")[2] + "/", 2), -1)
+    names = files.where(inside.contains("/")).select(F.split(inside, "/")[0].alias("paper_name")).distinct().orderBy("paper_name")
+    return names.limit(limit) if limit is not None else names
+
+
 def not_done(papers: DataFrame, outputs: DataFrame) -> DataFrame:
     """Papers without both a JSON and a CSV output. outputs: paper_name, kind (O-S2)."""
     done = outputs.where(F.col("kind").isin("json", "csv")).groupBy("paper_name").agg(F.count_distinct("kind").alias("n")).where("n = 2")
@@ -97,10 +105,56 @@ GOLD = {
 }
 
 
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(content: bytes) -> list[list[str | None]]:
+    """The cells of a workbook's first sheet, row by row, as texts."""
+    import zipfile
+    from io import BytesIO
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(BytesIO(content)) as book:
+        names = set(book.namelist())
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            strings = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
+            shared = ["".join(t.text or "" for t in item.iter(f"{_SHEET}t")) for item in strings.iter(f"{_SHEET}si")]
+        first = min((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+        sheet = ElementTree.fromstring(book.read(first))
+    out = []
+    for row in sheet.iter(f"{_SHEET}row"):
+        cells: dict[int, str | None] = {}
+        for cell in row.iter(f"{_SHEET}c"):
+            column = 0
+            for ch in cell.get("r", "A1").rstrip("0123456789"):
+                column = 26 * column + ord(ch) - 64
+            value = cell.find(f"{_SHEET}v")
+            if cell.get("t") == "s":
+                text = shared[int(value.text)] if value is not None else None
+            elif cell.get("t") == "inlineStr":
+                text = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t"))
+            else:
+                text = None if value is None else value.text
+            cells[column - 1] = text
+        out.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
+    return out
+
+
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of one workbook, its first row as header; a sheet is small (a million rows at most)."""
+    (file,) = spark.read.format("binaryFile").load(path).select("content").collect()
+    header, *rows = sheet_rows(bytes(file[0]))
+    names = [x if x is not None else f"_{i}" for i, x in enumerate(header)]
+    rows = [[*r[: len(names)], *[None] * (len(names) - len(r))] for r in rows]
+    return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+
+
 def gold_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A gold sheet saved as CSV (header trimmed) or Parquet, in record names, with rec_idx in file order
+    """A gold sheet as XLSX, CSV (header trimmed) or Parquet, in record names, with rec_idx in file order
     of each DOI (O-S6)."""
-    raw = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.option("header", "true").csv(path)
+    kind = path.rstrip("/").rpartition(".")[2].lower()
+    raw = read_sheet(spark, path) if kind == "xlsx" else spark.read.parquet(path) if kind == "parquet" else spark.read.option("header", "true").csv(path)
     raw = raw.toDF(*[c.strip() for c in raw.columns]).withColumn("__o", F.monotonically_increasing_id())
     cols = [(F.col(f"`{old}`") if old in raw.columns else F.lit(None).cast("string")).alias(new) for old, new in GOLD.items()]
     rows = raw.select("__o", *cols).withColumn("doi", normal_doi(F.col("doi"))).where("doi != ''")

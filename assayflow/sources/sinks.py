@@ -132,3 +132,20 @@ def optimisation_report(patterns: list[tuple[str, int]], cases: list[dict], miss
     lines += ["", "## Advice", *[f"- {advice[p]}" for p, n in patterns if n and p in advice], "", "## Cases"]
     lines += [f"- {c.get('paper_name')}: missing {', '.join(missing(c))}" for c in cases[:5]]
     return "\n".join(lines)
+
+
+def bar_chart(bars: list[tuple[str, float]], title: str, most: float = 1.0, width: int = 640) -> str:
+    """A bar chart of a small frame as SVG, largest bar on top (O-K9)."""
+    from xml.sax.saxutils import escape
+
+    rows = sorted(bars, key=lambda b: (-b[1], b[0]))
+    left, step = 200, 28
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{60 + step * len(rows)}" font-family="sans-serif" font-size="13">']
+    out.append(f'<text x="{left}" y="24" font-size="16">{escape(title)}</text>')
+    for k, (name, value) in enumerate(rows):
+        y = 40 + step * k
+        size = round((width - left - 70) * min(max(value, 0.0), most) / most, 1)
+        out.append(f'<text x="{left - 8}" y="{y + 15}" text-anchor="end">{escape(name)}</text>')
+        out.append(f'<rect x="{left}" y="{y}" width="{size}" height="20" fill="#35618f"/>')
+        out.append(f'<text x="{left + size + 6}" y="{y + 15}">{value:.3f}</text>')
+    return "\n".join([*out, "</svg>"])
