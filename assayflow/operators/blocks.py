@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import block_number, cut_markdown_references, split_column, strip
+from ..functions.text import cut_markdown_references, split_column, strip
 
 
 def block_text() -> Column:
@@ -89,10 +89,6 @@ def context_windows(
     return hits.groupBy(*keys).agg(F.substring(text, 1, most).alias("context"))
 
 
-def record_block(label: str = "block_id") -> Column:
-    return block_number(F.col(label))
-
-
 def find_table(requests: DataFrame, blocks: DataFrame, paper: str = "paper_name", order: str = "block_id") -> DataFrame:
     """For each request (paper, table_id) the table block meant: its caption holds the id, else 'table N',
     else it is the N-th (O-J9). Adds block and tier; null where there is none."""

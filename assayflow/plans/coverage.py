@@ -13,7 +13,7 @@ from ..schema import RECORD_DDL
 from ..sources import answers, grids
 from .chain import ChainRules, review_process
 from .derived import records, table
-from .queries import KEY, OTHER_SUBSTRATES, SUBSTRATES, _split, query, with_records
+from .queries import KEY, OTHER_SUBSTRATES, SUBSTRATES, _split, page_bodies, query, with_records
 
 
 def _i() -> Column:
@@ -441,17 +441,8 @@ _ROUTES_SQL = """WITH p AS (SELECT page_id, html, page_id % 5 AS k FROM pages),
 
 @query(_ROUTES_SQL + " SELECT route, count(*) AS n, count(*) / (SELECT count(*) FROM r) AS share FROM r GROUP BY route")
 def route_stats(spark, sf):
-    """Tables whose grid is read, without kinetic words, too short, and pages' own HTML, which holds no table."""
-    k = F.col("page_id") % 5
-    row = "<tr><td>Km</td><td>" + "1" * 60 + "</td></tr>"
-    body = (
-        F.when(k == 0, f"<table><tr><td>Km</td><td>kcat</td></tr>{row}</table>")
-        .when(k == 1, "<table><thead><tr><th>Name</th></tr></thead></table>" + " " * 80)
-        .when(k == 2, "<tr><td>kcat</td></tr>")
-        .when(k == 3, "Km and kcat, but no table at all" + "." * 100)
-        .otherwise(F.regexp_replace("html", r"(?is)<(?:tr|thead)", "<x"))
-    )
-    rows = table(spark, sf, "pages").select("page_id", body.alias("body"))
+    """Counts of page_header_route."""
+    rows = page_bodies(spark, sf)
     return filters.route_stats(rows.select("page_id", filters.route_table(F.col("body"), grids.grid_ok(F.col("body"))).alias("route")))
 
 

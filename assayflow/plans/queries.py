@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import blocks, enrichment, evaluation, filters, merging, reports
@@ -21,8 +23,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-# Words that occur in the test corpus stand in for the domain's vocabulary.
-TOXINS, KINETICS, UNITS = ("the", "der", "les"), ("of", "and", "die", "que", "est"), ("er", "en")
+# The pre-check searches for its whole vocabulary; words that occur in the test corpus are added to it, or
+# stand in for the domain's words elsewhere.
+TOXINS, KINETICS = (*vocab.TOXIN_KEYWORDS, "les"), (*vocab.KINETICS_KEYWORDS, "of", "and", "die", "que", "est")
+UNITS = (*vocab.UNIT_KEYWORDS, "er", "en")
 DATA = ("ing", "ung", "ment")
 SUBSTRATES, OTHER_SUBSTRATES = ("economy", "standard", "promo"), ("medium",)
 
@@ -51,15 +55,25 @@ KEY = ["paper_name", "rec_idx"]
 # ---------------------------------------------------------------- papers and blocks
 
 
-def _hits_sql(words, t: str = "t") -> str:
-    tokens = f"regexp_split_to_array(lower(substr({t}, 1, 30000)), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
-    inside = ", ".join(f"'{w}'" for w in words)
-    return f"len(list_filter({tokens}, lambda x: x IN ({inside})))"
+_HEAD = "lower(substr(text, 1, 30000))"
 
 
-_UNIT_SQL = " + ".join(f"(length(lower(substr(text, 1, 30000))) - length(replace(lower(substr(text, 1, 30000)), '{u}', ''))) // {len(u)}" for u in UNITS)
+def _hits_sql(words) -> str:
+    """One-word keywords among the text's words; the others by a search each."""
+    tokens = f"regexp_split_to_array({_HEAD}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
+    plain = ", ".join(f"'{w}'" for w in words if re.fullmatch(r"\w+", w))
+    parts = [f"len(list_filter({tokens}, lambda x: x IN ({plain})))"]
+    for w in words:
+        if not re.fullmatch(r"\w+", w):
+            edge = "(^|[^\\p{L}\\p{M}\\p{N}_])" if ord(w[0]) > 127 else "\\b"
+            parts.append(f"len(regexp_extract_all({_HEAD}, '{edge}{w}\\b'))")
+    return " + ".join(parts)
+
+
+# A circumflex is an anchor in these patterns, so units with one are never found.
+_UNIT_SQL = " + ".join(f"(length({_HEAD}) - length(replace({_HEAD}, '{u}', ''))) // {len(u)}" for u in UNITS if "^" not in u)
 _PRECHECK_SQL = f"""
-WITH h AS (SELECT doc_id, {_hits_sql(TOXINS, 'text')} AS toxin_hits, {_hits_sql(KINETICS, 'text')} AS kinetics_hits, {_UNIT_SQL} AS unit_hits FROM documents),
+WITH h AS (SELECT doc_id, {_hits_sql(TOXINS)} AS toxin_hits, {_hits_sql(KINETICS)} AS kinetics_hits, {_UNIT_SQL} AS unit_hits FROM documents),
 c AS (SELECT *, toxin_hits < 1 OR kinetics_hits < 2 AS skip FROM h)
 """
 
@@ -169,28 +183,32 @@ def bio_paragraphs(spark, sf):
 
 
 _PAGES_SQL = """
-WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '<table><tr><td>Km</td></tr><tr><td>' || substr(url, 1, 90) || '</td></tr></table>' || repeat(' ', 60)
-  WHEN 1 THEN '<table><thead><tr><th>Name</th></tr></thead></table>' WHEN 2 THEN '<tr><td>kcat</td></tr>' ELSE '' END AS body,
-  CASE WHEN page_id % 5 = 0 THEN 'Primer list' ELSE url END AS caption FROM pages)
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text:grid_read' WHEN 1 THEN 'skip:no_kinetic_keywords' ELSE 'vision:html_incomplete' END AS route,
-  page_id % 5 <> 0 AS caption_passes FROM p
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'text:grid_read' WHEN 1 THEN 'skip:no_kinetic_keywords' WHEN 2 THEN 'vision:html_incomplete' WHEN 3 THEN 'vision:grid_failed'
+  ELSE CASE WHEN coalesce(length(html), 0) < 100 THEN 'vision:html_incomplete' ELSE 'vision:grid_failed' END END AS route, page_id % 3 <> 0 AS caption_passes FROM pages
 """
 
 
-@query(_PAGES_SQL)
-def page_header_route(spark, sf):
-    k = F.col("page_id") % 4
+def page_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """page_id, body: tables whose grid can be read, without kinetic words, too short, not readable, and the
+    pages' own HTML, which holds no table."""
+    k = F.col("page_id") % 5
+    row = "<tr><td>Km</td><td>" + "1" * 60 + "</td></tr>"
     body = (
-        F.when(k == 0, F.concat(F.lit("<table><tr><td>Km</td></tr><tr><td>"), F.substring("url", 1, 90), F.lit("</td></tr></table>" + " " * 60)))
-        .when(k == 1, "<table><thead><tr><th>Name</th></tr></thead></table>")
+        F.when(k == 0, f"<table><tr><td>Km</td><td>kcat</td></tr>{row}</table>")
+        .when(k == 1, "<table><thead><tr><th>Name</th></tr></thead></table>" + " " * 80)
         .when(k == 2, "<tr><td>kcat</td></tr>")
-        .otherwise("")
+        .when(k == 3, "Km and kcat, but no table at all" + "." * 100)
+        .otherwise(F.col("html"))
     )
-    caption = F.when(F.col("page_id") % 5 == 0, "Primer list").otherwise(F.col("url"))
-    rows = table(spark, sf, "pages").select("page_id", body.alias("body"), caption.alias("caption"))
-    return rows.select(
+    return table(spark, sf, "pages").select("page_id", "url", body.alias("body"))
+
+
+@query(_PAGES_SQL)
+def page_header_route(spark, sf):
+    caption = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("Primer list of "), "url")).otherwise(F.col("url"))
+    return page_bodies(spark, sf).select(
         "page_id", filters.route_table(F.col("body"), grids.grid_ok(F.col("body"))).alias("route"),
-        filters.caption_passes(F.col("caption"), exclude=("primer", "sequence")).alias("caption_passes"),
+        filters.caption_passes(caption, exclude=("primer", "sequence")).alias("caption_passes"),
     )
 
 
@@ -233,15 +251,19 @@ def merged_text_blocks(spark, sf):
 
 @query(
     """WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE turn % 2 = 1)
-    SELECT DISTINCT c.conv_id AS paper_name, 'Table 2' AS table_id, t.turn::INT AS block, CASE WHEN t.turn IS NOT NULL THEN 3 END AS tier
-    FROM conversations c LEFT JOIN t ON c.conv_id = t.conv_id AND t.k = 2"""
+    SELECT DISTINCT c.conv_id AS paper_name, CASE WHEN c.conv_id % 3 = 1 THEN 'Tab. 2' ELSE 'Table 2' END AS table_id, t.turn::INT AS block,
+      CASE WHEN t.turn IS NULL THEN NULL WHEN t.k = 1 THEN 1 + c.conv_id % 3 ELSE 3 END::INT AS tier
+    FROM conversations c LEFT JOIN t ON c.conv_id = t.conv_id AND t.k = CASE WHEN c.conv_id % 3 < 2 THEN 1 ELSE 2 END"""
 )
 def table_lookup(spark, sf):
+    """By the id in a caption, by its number there, and by place."""
+    named = (F.col("turn") == 1) & (F.col("conv_id") % 3 < 2)
     b = table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("paper_name"), F.col("turn").cast("int").alias("block_id"),
-        F.when(F.col("turn") % 2 == 1, "table").otherwise("text").alias("type"), F.array(F.lit("no"), F.lit("name")).alias("table_caption"),
+        F.col("conv_id").alias("paper_name"), F.col("turn").cast("int").alias("block_id"), F.when(F.col("turn") % 2 == 1, "table").otherwise("text").alias("type"),
+        F.when(named, F.array(F.lit("See"), F.lit("TABLE 2."))).otherwise(F.array(F.lit("no"), F.lit("name"))).alias("table_caption"),
     )
-    return blocks.find_table(b.select("paper_name", F.lit("Table 2").alias("table_id")).distinct(), b)
+    asked = b.select("paper_name", F.when(F.col("paper_name") % 3 == 1, "Tab. 2").otherwise("Table 2").alias("table_id")).distinct()
+    return blocks.find_table(asked, b)
 
 
 # ---------------------------------------------------------------- records
@@ -476,16 +498,22 @@ def positional_records(spark, sf):
     return merging.positional_record(_positions(spark, sf)).drop("products")
 
 
+_FOLD_SQL = " OR ".join(f"contains(lower(coalesce({c}, '')), '{w}')" for c in ("enzyme_name", "enzyme_full_name", "substrate") for w in vocab.FOLD_KEYWORDS)
+
+
 @query(
     with_records(
-        """SELECT paper_name, rec_idx, CASE WHEN Km_unit IS NOT NULL THEN Km_value END AS Km_value, CASE WHEN kcat_unit IS NOT NULL THEN kcat_value END AS kcat_value,
-    Km_unit IN ('mM', 'nM') OR Km_unit IS NULL AS km_unit_usual FROM rec"""
+        f""", t AS (SELECT *, kcat_value IS NOT NULL AND kcat_unit IS NULL AS lone, coalesce(Km_unit = 'um', false) AS odd, {_FOLD_SQL} AS fold FROM rec)
+    SELECT paper_name, rec_idx, Km_value, Km_unit, CASE WHEN NOT lone THEN kcat_value END AS kcat_value, kcat_unit, odd AS km_unit_odd, lone OR odd OR fold AS flagged,
+      CASE WHEN lone OR odd OR fold THEN 'medium' ELSE 'high' END AS confidence, lone AS noted FROM t"""
     )
 )
 def post_validate(spark, sf):
-    rows = R.post_validate(records(spark, sf))
-    odd = F.coalesce(F.col("ambiguity_flag").contains("Km_value=") & F.col("ambiguity_flag").contains("invalid unit"), F.lit(False))
-    return rows.select(*KEY, "Km_value", "kcat_value", (~odd).alias("km_unit_usual"))
+    rows = R.post_validate(records(spark, sf).withColumns({"confidence": F.lit("high"), "before": F.coalesce("notes", F.lit(""))}))
+    flag = F.coalesce("ambiguity_flag", F.lit(""))
+    odd = flag.contains("Km_value=") & flag.contains("invalid unit")
+    noted = F.coalesce("notes", F.lit("")) != F.col("before")
+    return rows.select(*KEY, "Km_value", "Km_unit", "kcat_value", "kcat_unit", odd.alias("km_unit_odd"), (flag != "").alias("flagged"), "confidence", noted.alias("noted"))
 
 
 @query(
@@ -662,21 +690,31 @@ def parse_answers(spark, sf):
     return found.select("doc_id", F.size("r").alias("n"), F.get_json_object(F.get("r", F.lit(0)), "$.enzyme_name").alias("enzyme"))
 
 
+_FLAT_EMPTY = (
+    "preparation_level", "uniprot_id", "pdb_id", "ncbi_protein_id", "substrate_matrix", "detection_method", "buffer_system", "enzyme_concentration_value",
+    "enzyme_concentration_unit", "cofactors", "source_organism_strain", "vmax_unit", "kcat_km_unit", "reaction_time_unit", "temperature_unit", "optimal_temperature_unit",
+)
+_FLAT_NULL = ("vmax_value", "kcat_km_value", "reaction_time_value", "temperature_value", "optimal_temperature_value")
+
+
 @query(
     with_records(
-        """SELECT paper_name AS paper, rec_idx, enzyme_name, ec_number AS enzyme_ec_number, substrate AS substrate_name, Km_value AS km_value, kcat_value, ph AS ph_value,
-    CASE WHEN product IS NOT NULL THEN '[{"name":"' || product || '"' || CASE WHEN toxicity_change IS NOT NULL THEN ',"toxicity_change":"' || toxicity_change || '"' ELSE '' END || '}]' END AS reaction_products,
-    10.5::DOUBLE AS substrate_initial_concentration_value, 'μM each' AS substrate_initial_concentration_unit, doi, source_type FROM rec"""
+        f"""SELECT paper_name AS paper, rec_idx, enzyme_name, ec_number AS enzyme_ec_number, organism AS source_organism_name, NULL::BOOLEAN AS is_recombinant, rec_idx % 2 = 0 AS is_wild_type,
+    mutations, substrate AS substrate_name, CASE rec_idx % 3 WHEN 0 THEN 10.5::DOUBLE END AS substrate_initial_concentration_value, CASE rec_idx % 3 WHEN 0 THEN 'μM each' END AS substrate_initial_concentration_unit,
+    Km_value AS km_value, Km_unit AS km_unit, kcat_value, kcat_unit, degradation_efficiency, ph AS ph_value, optimal_ph, paper_name || '/' || rec_idx AS notes,
+    CASE WHEN product IS NOT NULL THEN '[{{"name":"' || product || '"' || CASE WHEN toxicity_change IS NOT NULL THEN ',"toxicity_change":"' || toxicity_change || '"' ELSE '' END || '}}]' END AS reaction_products,
+    doi, source_type, {", ".join(f"NULL::VARCHAR AS {c}" for c in _FLAT_EMPTY)}, {", ".join(f"NULL::DOUBLE AS {c}" for c in _FLAT_NULL)} FROM rec"""
     )
 )
 def csv_flatten(spark, sf):
-    rows = records(spark, sf).withColumn("substrate_concentration", F.lit(" 10.5  μM each"))
-    keyed = sinks.flat(rows.withColumn("notes", F.concat_ws("/", "paper_name", "rec_idx")))
+    """All columns of the flat table."""
+    i = F.col("rec_idx")
+    given = F.when(i % 3 == 0, " 10.5  μM each").when(i % 3 == 1, "10.5μM")
+    rows = records(spark, sf).withColumns(
+        {"substrate_concentration": given, "is_wild_type": i % 2 == 0, "uniprot_id": F.lit("P1"), "notes": F.concat_ws("/", "paper_name", "rec_idx")}
+    )
     key = F.split("notes", "/")
-    return keyed.select(
-        key[0].cast("bigint").alias("paper"), key[1].cast("int").alias("rec_idx"), "enzyme_name", "enzyme_ec_number", "substrate_name", "km_value", "kcat_value",
-        "ph_value", "reaction_products", "substrate_initial_concentration_value", "substrate_initial_concentration_unit", "doi", "source_type",
-    )
+    return sinks.flat(rows).select(key[0].cast("bigint").alias("paper"), key[1].cast("int").alias("rec_idx"), "*")
 
 
 @query(
