@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import strip
+from ..functions.text import let, strip
 from ..schema import any_of, holds_any
 
 
@@ -150,8 +150,12 @@ def bio_paragraphs(
         return any_of([p.rlike(f"(?i){x}") for x in patterns]) | custom | (holds_any(low, vocab.BIO_SECTIONS) & (F.length(p) < 200))
 
     kept = F.filter(F.transform(paras, strip), lambda p: (F.length(p) >= 30) & relevant(p))
-    heads = F.transform(kept, lambda p: F.lower(F.substring(p, 1, 100)))
-    firsts = F.filter(kept, lambda p, i: F.array_position(heads, F.lower(F.substring(p, 1, 100))) == i + 1)
+    # Sorted by head and place, the first of each head stands behind another head.
+    heads = F.array_sort(F.transform(kept, lambda p, i: F.struct(F.lower(F.substring(p, 1, 100)).alias("h"), i.alias("i"), p.alias("p"))))
+    once = let(heads, lambda s: F.filter(s, lambda x, j: (j == 0) | (x["h"] != F.get(s, j - 1)["h"])))
+    firsts = F.transform(F.array_sort(F.transform(once, lambda x: F.struct(x["i"], x["p"]))), lambda x: x["p"])
+    papers = papers.select(key, F.col(text_col).alias("__t"), firsts.alias("__f"))
+    text_col, firsts = "__t", F.col("__f")
     text = F.array_join(firsts, "\n\n")
     cut = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n\n[... cut ...]"))).otherwise(text)
     return papers.select(

@@ -166,18 +166,57 @@ def latex_clean(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.preprocess(t).alias("text"))
 
 
-@query()
+def _dealt_sql(size: int) -> str:
+    """From texts d (key, t): p, q, u, e and step, which deal the units of long texts, paragraphs and the sentences
+    of paragraphs that are too long, to chunks one after the other; then dealt (key, chunk, text)."""
+    new = f"step.i > 0 AND (fresh OR used + length(t) > {size})"
+    return f"""
+p AS (SELECT key, unnest(string_split(t, chr(10) || chr(10))) AS para, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS pi FROM d WHERE length(t) > {size}),
+q AS (SELECT key, pi, CASE WHEN length(para) > {size} THEN string_split(replace(para, '. ', '.' || chr(10)), chr(10)) ELSE [para] END AS us, length(para) > {size} AS long FROM p),
+u AS (SELECT key, pi, long, unnest(us) AS t, generate_subscripts(us, 1) AS k FROM q),
+e AS MATERIALIZED (SELECT key, t, long AND k = 1 AS fresh, length(t) + CASE WHEN long THEN 0 ELSE 2 END AS w, row_number() OVER (PARTITION BY key ORDER BY pi, k) AS i FROM u),
+step AS (SELECT DISTINCT key, 0::BIGINT AS i, 0 AS g, 0::BIGINT AS used FROM e UNION ALL
+  SELECT e.key, e.i, CASE WHEN {new} THEN g + 1 ELSE g END, CASE WHEN {new} THEN CASE WHEN fresh THEN w ELSE length(t) END ELSE used + w END
+  FROM step JOIN e ON e.key = step.key AND e.i = step.i + 1),
+dealt AS (SELECT key, g AS chunk, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM step JOIN e USING (key, i) GROUP BY key, g UNION ALL SELECT key, 0, t FROM d WHERE length(t) <= {size})"""
+
+
+_SMART_SQL = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id AS key, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents WHERE text IS NOT NULL),{_dealt_sql(2000)}
+SELECT key AS doc_id, chunk, text FROM dealt"""
+
+
+@query(_SMART_SQL)
 def smart_chunks(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.posexplode(X.split_column(F.replace("text", F.lit("\n"), F.lit("\n\n")), 2000)).alias("chunk", "text"))
 
 
-@query()
+_OVERLAP_SQL = """WITH RECURSIVE s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?。！？]+[.!?。！？]+') AS x, text FROM documents),
+n AS (SELECT doc_id, CASE WHEN len(x) > 0 THEN x ELSE list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: l <> '') END AS x FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM n),
+step AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, -1 AS g, 0::BIGINT AS room FROM e UNION ALL
+  SELECT e.doc_id, e.i, CASE WHEN g < 0 OR room + length(t) > 2000 THEN g + 1 ELSE g END, CASE WHEN g < 0 OR room + length(t) > 2000 THEN length(t) ELSE room + length(t) END
+  FROM step JOIN e ON e.doc_id = step.doc_id AND e.i = step.i + 1),
+grp AS MATERIALIZED (SELECT doc_id, g, list(t ORDER BY i) AS l FROM step JOIN e USING (doc_id, i) GROUP BY doc_id, g)
+SELECT a.doc_id, a.g AS chunk, CASE WHEN b.l IS NULL THEN '' ELSE '[CONTEXT]: ' || array_to_string(b.l[greatest(len(b.l) - 1, 1):], ' ') || chr(10) || chr(10) END || array_to_string(a.l, ' ') AS text
+FROM grp a LEFT JOIN grp b ON b.doc_id = a.doc_id AND b.g = a.g - 1"""
+
+
+@query(_OVERLAP_SQL)
 def overlap_chunks(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(X.overlap_column(F.col("text"), 2000, 2)).alias("chunk", "text"))
 
 
-@query()
+_BIO_SQL = f"""WITH d AS (SELECT doc_id, text, regexp_split_to_array(text, '\\n\\s*\\n') AS a, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS b FROM documents),
+p AS (SELECT doc_id, text, list_filter(list_transform(CASE WHEN len(a) < 5 THEN b ELSE a END, lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: length(l) >= 30
+  AND (regexp_matches(l, '(?i)\\bthe\\b|\\d{{4}}') OR (length(l) < 200 AND ({" OR ".join(f"contains(lower(l), '{w}')" for w in vocab.BIO_SECTIONS)})))) AS k FROM d),
+h AS (SELECT *, list_transform(k, lambda l: lower(substr(l, 1, 100))) AS heads FROM p),
+f AS (SELECT doc_id, text, list_filter(k, lambda l, i: list_position(heads, lower(substr(l, 1, 100))) = i) AS x FROM h),
+j AS (SELECT doc_id, text, len(x) AS n, array_to_string(x, chr(10) || chr(10)) AS t FROM f)
+SELECT doc_id, CASE WHEN n < 3 THEN substr(text, 1, 5000) WHEN length(t) > 8000 THEN substr(t, 1, 8000) || chr(10) || chr(10) || '[... cut ...]' ELSE t END AS excerpt FROM j"""
+
+
+@query(_BIO_SQL)
 def bio_paragraphs(spark, sf):
     return filters.bio_paragraphs(table(spark, sf, "documents"), "doc_id", patterns=(r"\bthe\b", r"\d{4}"))
 
@@ -244,7 +283,16 @@ def block_context_window(spark, sf):
     return blocks.context_windows(r, b, reach=2)
 
 
-@query()
+# Runs of text blocks lie between images; a run has two blocks at most, which stay apart beyond 1.5 sizes.
+_MERGED_SQL = f"""WITH RECURSIVE b AS (SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 3 = 1 THEN 'Fig. 1 ' || text ELSE text END, '^\\s+|\\s+$', '', 'g') AS t FROM conversations WHERE turn % 3 > 0),
+f AS (SELECT *, turn // 3 AS run FROM b WHERE t <> ''),
+w AS (SELECT *, min(turn) OVER r AS head, sum(length(t)) OVER r AS total FROM f WINDOW r AS (PARTITION BY conv_id, run)),
+d AS MATERIALIZED (SELECT struct_pack(c := conv_id, o := CASE WHEN total > 1500 THEN turn ELSE head END) AS key, string_agg(t, chr(10) || chr(10) ORDER BY turn) AS t FROM w GROUP BY 1),{_dealt_sql(1000)}
+SELECT key.c AS paper_name, key.o::INT AS block_id, 'text' AS type, chunk::INT AS part, text AS content FROM dealt
+UNION ALL SELECT conv_id, turn::INT, 'image', 0, text FROM conversations WHERE turn % 3 = 0"""
+
+
+@query(_MERGED_SQL)
 def merged_text_blocks(spark, sf):
     return blocks.merge_text_blocks(_turn_blocks(spark, sf), size=1000)
 
