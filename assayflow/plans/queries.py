@@ -513,9 +513,24 @@ def majority_vote(spark, sf):
     )
 
 
-@query()
+_VOTED = (
+    "enzyme_name", "enzyme_full_name", "enzyme_type", "ec_number", "organism", "mutations", "substrate", "Km_value", "Km_unit", "kcat_value", "kcat_unit",
+    "degradation_efficiency", "ph", "optimal_ph", "notes",
+)
+
+
+@query(
+    with_records(
+        f""", k AS (SELECT *, lower(coalesce(enzyme_name, '')) || '|' || lower(substrate) || '|' || lower(coalesce(mutations, '')) AS vk,
+    (enzyme_name IS NOT NULL)::INT + 1 + (organism IS NOT NULL)::INT + (Km_value IS NOT NULL)::INT + (kcat_value IS NOT NULL)::INT + (degradation_efficiency IS NOT NULL)::INT
+    + (product IS NOT NULL)::INT + (ph IS NOT NULL)::INT + (ec_number IS NOT NULL)::INT AS c FROM rec)
+    SELECT paper_name, count(DISTINCT model)::INT AS votes, {", ".join(f"first({c} ORDER BY -c, model, rec_idx) FILTER ({c} IS NOT NULL) AS {c}" for c in _VOTED)},
+      {", ".join(f"first({c} ORDER BY -c, model, rec_idx) AS {c}" for c in ("rec_idx", "model", "source_type", "block_id", "doi"))} FROM k GROUP BY paper_name, vk HAVING count(DISTINCT model) >= 2"""
+    )
+)
 def vote_and_merge(spark, sf):
-    return merging.vote_and_merge(records(spark, sf)).drop("products", "models")
+    """No two keys of the vote are one entity here, so the merge passes its rows on."""
+    return merging.vote_and_merge(records(spark, sf)).select("paper_name", "votes", *_VOTED, "rec_idx", "model", "source_type", "block_id", "doi")
 
 
 def _positions(spark, sf):
@@ -541,9 +556,31 @@ def positional_vote(spark, sf):
     return merging.positional_votes(_positions(spark, sf), fields).drop("alternatives")
 
 
-@query()
+_PLACED = ("Km_value", "Km_unit", "kcat_value", "kcat_unit", "ph", "substrate", "enzyme_name", "organism", "enzyme_full_name", "ec_number")
+_PLACED_REST = ("old", "source_type", "block_id", "doi", "enzyme_type", "mutations", "degradation_efficiency", "optimal_ph", "notes")
+
+
+def _placed_sql() -> str:
+    def said(f: str) -> str:
+        if f in ("Km_value", "kcat_value", "ph"):
+            return f"CASE WHEN {f} <> 0 THEN round({f}, 4)::VARCHAR END"
+        return f"CASE WHEN {f} NOT IN ('', 'Unknown', 'N/A') THEN {f} END"
+
+    votes = " UNION ALL ".join(f"SELECT paper_name, pos, model, '{f}' AS field, {said(f)} AS value FROM n" for f in _PLACED)
+    wide = ", ".join(f"max(value) FILTER (field = '{f}'){'::DOUBLE' if f in ('Km_value', 'kcat_value', 'ph') else ''} AS {f}" for f in _PLACED)
+    return f""", n AS (SELECT *, rec_idx AS old, row_number() OVER (PARTITION BY paper_name, model ORDER BY rec_idx) - 1 AS pos FROM rec),
+    v AS ({votes}), t AS (SELECT paper_name, pos, field, value, count(*) AS votes, min(model) AS fst FROM v WHERE value IS NOT NULL GROUP BY ALL),
+    r AS (SELECT *, sum(votes) OVER (PARTITION BY paper_name, pos, field) AS total, row_number() OVER (PARTITION BY paper_name, pos, field ORDER BY votes DESC, fst, value) AS k FROM t),
+    w AS (SELECT paper_name, pos, {wide}, round(avg((votes = total)::INT), 6) AS consensus_rate FROM r WHERE k = 1 GROUP BY paper_name, pos),
+    a AS (SELECT *, row_number() OVER (PARTITION BY paper_name, pos ORDER BY model) AS z FROM n)
+    SELECT a.paper_name, a.pos AS rec_idx, {", ".join(f"w.{f}" for f in _PLACED)}, w.consensus_rate, {", ".join(f"a.{f}" for f in _PLACED_REST)}
+    FROM a LEFT JOIN w ON a.paper_name = w.paper_name AND a.pos = w.pos WHERE z = 1"""
+
+
+@query(with_records(_placed_sql()))
 def positional_records(spark, sf):
-    return merging.positional_record(_positions(spark, sf)).drop("products")
+    found = merging.positional_record(_positions(spark, sf)).withColumn("consensus_rate", F.round("consensus_rate", 6))
+    return found.select(*KEY, *_PLACED, "consensus_rate", *_PLACED_REST)
 
 
 _FOLD_SQL = " OR ".join(f"contains(lower(coalesce({c}, '')), '{w}')" for c in ("enzyme_name", "enzyme_full_name", "substrate") for w in vocab.FOLD_KEYWORDS)
