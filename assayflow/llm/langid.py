@@ -38,7 +38,7 @@ UNKNOWN = "und"
 PROFILE = 300
 TRAIN_DOCS = 1000
 #: More languages than this are an error: profiles are held on the driver and sent to every task.
-MOST_LANGS = 1000
+MOST_LANGS = 500
 DEALT = 16
 FOLDS = 5
 MIN_SCORE = 0.3
@@ -134,13 +134,15 @@ def learn_profiles(
     docs: DataFrame, size: int = PROFILE, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang",
 ) -> Profiles:
-    """Profiles from the training folds. Sample ids are ranked without their texts, at most train_docs a
-    language; n-gram counts are summed in the tasks first, and `size` n-grams a language reach the
-    driver."""
+    """Profiles from the training folds. Sample ids are ranked without their texts and broadcast, at most
+    train_docs a language; n-gram counts are summed in the tasks first, and `size` n-grams a language
+    reach the driver. Languages are counted before, and at most MOST_LANGS."""
     src = keyed(docs, doc_id=id_col, text=text_col, lang=lang_col)
     ids = src.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    if ids.select("lang").distinct().limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     sample = first_of_each(ids, "lang", ["h", "doc_id"], F.xxhash64("doc_id", F.lit(1)), train_docs)
-    chosen = sample.select(F.col("doc_id").alias("i"), F.col("lang").alias("l")).distinct()
+    chosen = F.broadcast(sample.select(F.col("doc_id").alias("i"), F.col("lang").alias("l")).distinct())
     train = src.join(chosen, (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l")), "left_semi")
     ship(docs.sparkSession)
 
@@ -166,10 +168,7 @@ def learn_profiles(
     )
     ranked: dict[str, list[int]] = {}
     best = first_of_each(sums, "lang", [F.desc("n"), "gram"], F.xxhash64("gram"), size)
-    found = best.orderBy("lang", F.desc("n"), "gram").limit(MOST_LANGS * size + 1).collect()
-    if len(found) > MOST_LANGS * size:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    for r in found:
+    for r in best.orderBy("lang", F.desc("n"), "gram").collect():
         ranked.setdefault(r["lang"], []).append(r["gram"])
     return Profiles(ranked, size)
 
