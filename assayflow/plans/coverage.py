@@ -11,8 +11,8 @@ from ..operators import blocks, enrichment, evaluation, filters, merging, report
 from ..operators import records as R
 from ..schema import RECORD_DDL
 from ..sources import answers, grids
-from .chain import ChainRules, review_process
-from .derived import records, table
+from .chain import ChainRules, post_process, review_process
+from .derived import SCORE_SQL, records, table
 from .queries import KEY, OTHER_SUBSTRATES, SUBSTRATES, _split, page_bodies, query, with_records
 
 
@@ -601,3 +601,89 @@ def review_fill(spark, sf):
     rows = records(spark, sf).withColumn("confidence_score", R.confidence())
     rows = rows.withColumn("organism", F.when(_i() % 4 == 0, "Unknown").otherwise(F.col("organism")))
     return R.fill_within_paper(rows, ("enzyme_type", "organism"), (), unknown=("Unknown",)).select(*KEY, "organism", "enzyme_type")
+
+
+# ---------------------------------------------------------------- merging and the chain
+
+_TOLD = ("enzyme_full_name", "enzyme_type", "ec_number", "organism", "Km_value", "Km_unit", "kcat_value", "kcat_unit", "degradation_efficiency", "product", "toxicity_change", "ph", "optimal_ph")
+_LED = ("rec_idx", "model", "source_type", "block_id", "doi", "enzyme_name", "substrate", "mutations")
+
+
+def fold_sql(src: str, by: tuple[str, ...], name: str = "merged") -> str:
+    """The greedy merge of src's entities, as recursive SQL: an entity's state is the record that takes in others and
+    the list of those left. Step by step the first of them that agrees is taken in, or, if none does, the
+    record is done and the next one begins."""
+    cols = (*_LED, *_TOLD, "notes", "confidence_score")
+    keys = ", ".join((*by, "e_", "s_", "m_"))
+    weight = "CASE {}.source_type WHEN 'table' THEN 3 WHEN 'figure' THEN 2 ELSE 1 END".format
+    x, y = "now", "rest[i]"
+    near = f"""({x}.Km_value IS NULL OR {y}.Km_value IS NULL OR {x}.Km_value = {y}.Km_value
+        OR (coalesce({x}.Km_unit = {y}.Km_unit, true) AND abs({x}.Km_value - {y}.Km_value) / ((abs({x}.Km_value) + abs({y}.Km_value)) / 2) <= 0.1))"""
+    both = ", ".join(
+        [f"{c} := lead.{c}" for c in _LED] + [f"{c} := coalesce(lead.{c}, other.{c})" for c in _TOLD]
+        + ["notes := CASE WHEN lead.notes <> other.notes THEN lead.notes || '; ' || other.notes ELSE coalesce(lead.notes, other.notes) END",
+           "confidence_score := greatest(coalesce(lead.confidence_score, 0), coalesce(other.confidence_score, 0))"]
+    )
+    return f"""
+{name}_ent AS MATERIALIZED (SELECT {keys}, list(struct_pack({", ".join(f"{c} := {c}" for c in cols)}) ORDER BY rec_idx) AS rows
+  FROM (SELECT *, lower(trim(coalesce(enzyme_name, ''))) AS e_, lower(trim(coalesce(substrate, ''))) AS s_, lower(trim(coalesce(mutations, ''))) AS m_ FROM {src}) GROUP BY ALL),
+{name}_fold AS (SELECT {keys}, rows[1] AS now, rows[2:] AS rest, CASE WHEN false THEN rows[1] END AS done FROM {name}_ent UNION ALL
+  SELECT {keys}, CASE WHEN k IS NULL THEN rest[1] ELSE struct_pack({both}) END, list_filter(rest, lambda x, i: i <> coalesce(k, 1)), CASE WHEN k IS NULL THEN now END
+  FROM (SELECT *, CASE WHEN {weight("now")} >= {weight("rest[k]")} THEN now ELSE rest[k] END AS lead, CASE WHEN {weight("now")} >= {weight("rest[k]")} THEN rest[k] ELSE now END AS other
+    FROM (SELECT *, list_filter(range(1, len(rest) + 1), lambda i: {near})[1] AS k FROM {name}_fold WHERE now IS NOT NULL))),
+{name} AS (SELECT {", ".join(by)}, unnest(done) FROM {name}_fold WHERE done IS NOT NULL)"""
+
+
+_SHOWN = (*_LED, *[c for c in _TOLD if c not in ("product", "toxicity_change")], "notes", "confidence_score")
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(recursive(with_records(f", {fold_sql('scored', ('paper_name',))} SELECT paper_name, {', '.join(_SHOWN)} FROM merged", True)))
+def merge_records(spark, sf):
+    scored = records(spark, sf).withColumn("confidence_score", R.confidence())
+    return merging.merge_records(scored).select("paper_name", *_SHOWN)
+
+
+_VOTES_SQL = """votes AS (SELECT paper_name FROM rec GROUP BY paper_name, lower(coalesce(enzyme_name, '')) || '|' || lower(substrate) || '|' || lower(coalesce(mutations, '')) HAVING count(DISTINCT model) >= 2)"""
+
+
+@query(
+    recursive(
+        with_records(
+            f""", runs AS (SELECT *, NULL::INT AS confidence_score, model || '_only' AS config FROM rec UNION ALL SELECT *, NULL, 'students_union' FROM rec), {fold_sql("runs", ("paper_name", "config"))},
+    {_VOTES_SQL} SELECT config, count(*) AS n FROM merged GROUP BY config UNION ALL SELECT 'majority_vote', count(*) FROM votes"""
+        )
+    )
+)
+def ablation_configs(spark, sf):
+    c = merging.configurations(records(spark, sf))
+    return c.groupBy("config").agg(F.count("*").alias("n"))
+
+
+_CHAIN_SQL = """, ok AS (SELECT * FROM scored WHERE confidence_score > 1 AND NOT contains(lower(coalesce(notes, '')), 'crude extract') AND NOT contains(lower(substrate), 'medium')),
+    w AS (SELECT *, coalesce(organism, 'None') || '|' || coalesce(mutations, '') AS variant FROM ok),
+    f AS (SELECT *, first_value(enzyme_full_name IGNORE NULLS) OVER e AS b1, first_value(enzyme_type IGNORE NULLS) OVER e AS b2, first_value(ec_number IGNORE NULLS) OVER e AS b3, first_value(optimal_ph IGNORE NULLS) OVER v AS b4 FROM w
+      WINDOW e AS (PARTITION BY paper_name, enzyme_name ORDER BY confidence_score DESC, contains(block_id, 'table_block_4') DESC, contains(block_id, 'text_block') DESC, rec_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
+      v AS (PARTITION BY paper_name, enzyme_name, variant ORDER BY confidence_score DESC, rec_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    g AS (SELECT * EXCLUDE (enzyme_full_name, enzyme_type, ec_number, optimal_ph), coalesce(enzyme_full_name, b1) AS enzyme_full_name, coalesce(enzyme_type, b2) AS enzyme_type, coalesce(ec_number, b3) AS ec_number,
+      coalesce(optimal_ph, b4) AS optimal_ph FROM f), """
+
+
+@query(
+    recursive(
+        with_records(
+            _CHAIN_SQL
+            + fold_sql("g", ("paper_name",))
+            + f""" SELECT paper_name, {", ".join(c for c in _SHOWN if c != "confidence_score")}, {SCORE_SQL} AS confidence_score FROM merged
+    WHERE contains(lower(substrate), 'economy') OR contains(lower(substrate), 'standard') OR contains(lower(substrate), 'promo')""",
+            True,
+        )
+    )
+)
+def final_records(spark, sf):
+    """The whole chain."""
+    rules = ChainRules(toxins=SUBSTRATES, others=OTHER_SUBSTRATES, known=SUBSTRATES)
+    return post_process(records(spark, sf), rules).select("paper_name", *_SHOWN)

@@ -16,7 +16,6 @@ from ..operators import records as R
 from ..schema import count_true, filled, normalise
 from ..sources import answers, grids, sinks
 from ..streaming.usage import usage_windows
-from .chain import ChainRules, post_process
 from .derived import RECORDS_SQL, SCORE_SQL, records, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,7 +159,30 @@ def clean_whitespace(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(t).alias("digest"))
 
 
-@query()
+def _latex_sql() -> str:
+    def sub(text: str, pattern: str, by: str, flags: str = "g") -> str:
+        return f"regexp_replace({text}, '{pattern}', '{by}', '{flags}')"
+
+    def tidy(hit: str) -> str:
+        return sub(sub(hit, r"(\d)\s+\.\s+(\d)", r"\1.\2"), r"(\d)\s+(\d)", r"\1\2")
+
+    def within(text: str, pattern: str) -> str:
+        hits = f"regexp_extract_all({text}, '{pattern}', 1)"
+        return f"""array_to_string(list_transform(list_zip(regexp_split_to_array({text}, '{pattern}'), {hits}), lambda x: x[1] || coalesce({tidy("x[2]")}, '')), '')"""
+
+    out = sub(sub("t", r"\s*~\s*", " "), r"\\mathrm\s*\{([^}]*)\}", r"\1")
+    for pattern, unit in vocab.LATEX_UNITS:
+        out = sub(out, pattern, unit, "gi")
+    out = sub(sub(out, r"\\mu\s+", "μ"), r"\\mu([A-Z])", r"μ\1")
+    rest = sub(sub("b", r"\\[a-zA-Z]+\s*", ""), r"[\$\{\}]", "")
+    spaces = sub(sub(sub(sub("c", " +", " "), r"\n{3,}", "\n\n"), r" \n", "\n"), r"\n ", "\n")
+    start, end = "$( 0 . 3 3 ~ \\mu \\mathrm { M } )$ ", " $3 9 . 3 ~ \\mu \\mathrm { M }$"
+    return f"""WITH x AS (SELECT doc_id, '{start}' || text || '{end}' AS t FROM documents), y AS (SELECT doc_id, {out} AS a0 FROM x),
+    z AS (SELECT doc_id, {within("a0", r"[$]\s*\(\s*([^)]+)\s*\)\s*[$]")} AS a1 FROM y), v AS (SELECT doc_id, {within("a1", r"[$]\s*([^$]+)\s*[$]")} AS b FROM z),
+    w AS (SELECT doc_id, {rest} AS c FROM v) SELECT doc_id, {sub(spaces, r"^\s+|\s+$", "")} AS text FROM w"""
+
+
+@query(_latex_sql())
 def latex_clean(spark, sf):
     t = F.concat(F.lit("$( 0 . 3 3 ~ \\mu \\mathrm { M } )$ "), "text", F.lit(" $3 9 . 3 ~ \\mu \\mathrm { M }$"))
     return table(spark, sf, "documents").select("doc_id", X.preprocess(t).alias("text"))
@@ -488,11 +510,6 @@ def entity_keys(spark, sf):
     return records(spark, sf).select(*KEY, merging.entity_key().alias("k")).select(*KEY, "k.*")
 
 
-@query()
-def merge_records(spark, sf):
-    return merging.merge_records(scored(spark, sf)).drop("products")
-
-
 _VOTE_SQL = with_records(
     """, k AS (SELECT *, lower(coalesce(enzyme_name, '')) || '|' || lower(substrate) || '|' || lower(coalesce(mutations, '')) AS vk,
     (enzyme_name IS NOT NULL)::INT + 1 + (organism IS NOT NULL)::INT + (Km_value IS NOT NULL)::INT + (kcat_value IS NOT NULL)::INT + (degradation_efficiency IS NOT NULL)::INT
@@ -835,19 +852,6 @@ def normalised_schema(spark, sf):
     return rows.select(*KEY, n.alias("n_filled"))
 
 
-@query()
-def ablation_configs(spark, sf):
-    c = merging.configurations(records(spark, sf))
-    return c.groupBy("config").agg(F.count("*").alias("n"))
-
-
-@query()
-def final_records(spark, sf):
-    """The whole chain."""
-    rules = ChainRules(toxins=SUBSTRATES, others=OTHER_SUBSTRATES, known=SUBSTRATES)
-    return post_process(records(spark, sf), rules).drop("products")
-
-
 def queries() -> dict[str, Query]:
     from . import coverage  # noqa: F401  adds its queries
 
