@@ -127,6 +127,9 @@ def additive_score(records: DataFrame, least: int = 2) -> DataFrame:
 # ---------------------------------------------------------------- constraints
 
 
+# The texts of the reasons below; buckets are told from their words.
+
+
 def low(name: str) -> Column:
     return F.lower(F.coalesce(F.col(name), F.lit("")))
 
@@ -310,6 +313,7 @@ def optimum(measured: DataFrame, keys: tuple[str, ...], value: str = "temperatur
 
 
 # ---------------------------------------------------------------- checks after merging
+# The texts of flags, issues and notes, which are part of the result.
 
 
 def post_validate(records: DataFrame, units=vocab.ALLOWED_UNITS, ranges=vocab.RANGES, folds=vocab.FOLD_KEYWORDS) -> DataFrame:

@@ -262,6 +262,31 @@ def detective_scores(spark, sf):
     return d.select(*KEY, "score", enrichment.confidence_band(F.col("score")).alias("band"), F.regexp_replace(why, r" \(score .*\)$", "").alias("facts"))
 
 
+@query(
+    with_records(
+        _DETECTIVE_SQL
+        + """, l AS (SELECT paper_name, rec_idx, s, CASE WHEN round(s, 6) >= 0.9 THEN 'High' WHEN round(s, 6) >= 0.7 THEN 'Medium' WHEN round(s, 6) >= 0.5 THEN 'Low' ELSE 'Very Low' END AS band,
+      coalesce(nullif(array_to_string([x for x in [CASE WHEN org THEN 'organism Bacillus subtilis strain 168' END, CASE WHEN gene THEN 'gene cotA' END, CASE WHEN ec THEN 'EC 1.10.3.2' END,
+        CASE WHEN len THEN 'length 500 aa' END, CASE WHEN reviewed THEN 'reviewed entry' END] if x IS NOT NULL], ', '), ''), 'no fact in common') AS facts FROM p)
+    SELECT paper_name, rec_idx, 'search' AS name, md5('search: ' || CASE WHEN rec_idx % 2 = 0 THEN '1 candidate' ELSE '2 candidates' END || chr(10) || '1. P1: ' || facts || ' (score ' || printf('%.2f', round(s, 6)) || ', ' || band || ')'
+      || CASE WHEN rec_idx % 2 = 1 THEN chr(10) || '2. P2: ' || facts || ' (score 0.00, Very Low)' ELSE '' END) AS digest FROM l"""
+    )
+)
+def detective_reports(spark, sf):
+    d = _detective(spark, sf).withColumn("score", F.round(enrichment.detective_score(F.col("f"), F.col("c")), 6))
+
+    def candidate(name: str, score: Column) -> Column:
+        return F.struct(F.lit(name).alias("entry_id"), score.alias("score"), *[F.col(f"c.{x}").alias(x) for x in ("reviewed", "organism", "gene_names", "ec_numbers", "mass", "length")])
+
+    one, two = candidate("P1", F.col("score")), candidate("P2", F.lit(0.0).cast("double"))
+    rows = d.select(*KEY, F.lit("search").alias("name"), F.col("f").alias("fingerprint"), F.when(_i() % 2 == 0, F.array(one)).otherwise(F.array(one, two)).alias("candidates"))
+    rows = rows.withColumn("name", F.concat_ws("/", "name", *KEY))
+    got = enrichment.detective_report(rows)
+    key = F.split("name", "/")
+    report = F.regexp_replace("report", r"^search/\d+/\d+", "search")
+    return got.select(key[1].cast("bigint").alias("paper_name"), key[2].cast("int").alias("rec_idx"), key[0].alias("name"), F.md5(report).alias("digest"))
+
+
 @query(
     """WITH r AS (SELECT p_brand AS brand, 'E' || (p_partkey % 40) AS entry_id, p_partkey AS position, p_retailprice AS score, 0 AS s FROM part WHERE p_size < 30
       UNION ALL SELECT p_brand, 'E' || (p_partkey % 40), p_partkey, p_retailprice, 1 FROM part WHERE p_size >= 10),
