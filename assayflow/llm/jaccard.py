@@ -50,7 +50,7 @@ ROUNDS = 4
 #: Members and tokens of a block, about.
 BLOCK = 64
 BLOCK_TOKENS = 1 << 20
-BROADCAST_IDS = 1 << 20
+BROADCAST_IDS = 1 << 19
 #: Classes that a task remembers to have given out.
 REMEMBERED = 1 << 20
 
