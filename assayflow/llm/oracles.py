@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .decontam import MASKS, MISSES, ONE_MISS, SPAN
 from .quality_rules import NAV_SEPARATORS, TERMINAL, QualityRules
+from .secret_scan import ACCESS, ALLOW, ASSIGN, CANDIDATE, HEX, NLOGN, THRESHOLDS, WINDOW, most_sum
 
 _R = QualityRules()
 
@@ -69,3 +71,69 @@ SELECT page_id, strlen(h) AS payload_bytes,
   CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
 FROM p JOIN last USING (h)
 """
+
+
+def _secrets() -> str:
+    """Matches and the pieces between them give the places; a candidate's windows are counted one by one."""
+    kinds = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("entropy", CANDIDATE))
+
+    def text(pattern: str) -> str:
+        return pattern.replace("'", "''")
+
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, row, {k} AS kind, regexp_split_to_array(t, '{text(p)}') AS gaps, regexp_extract_all(t, '{text(p)}') AS hits FROM d WHERE regexp_matches(t, '{text(p)}')"
+        for k, (_, p) in enumerate(kinds)
+    )
+    table = f"[{', '.join(map(str, NLOGN))}]"
+    allowed = " OR ".join(f"regexp_matches(s, '{text(p)}')" for p in ALLOW)
+    limit = f"""CASE WHEN regexp_full_match(s, '[0-9a-fA-F]+') THEN {most_sum(THRESHOLDS["hex"])} WHEN regexp_full_match(s, '[A-Za-z0-9]+') THEN {most_sum(THRESHOLDS["alnum"])} ELSE {most_sum(THRESHOLDS["base64"])} END"""
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+x AS (SELECT doc_id, row, kind, unnest(hits) AS s, generate_subscripts(hits, 1) AS i, gaps, hits FROM m),
+p AS (SELECT doc_id, row, kind, s, list_sum(list_transform(gaps[:i], lambda g: length(g)))::BIGINT + coalesce(list_sum(list_transform(hits[:i - 1], lambda g: length(g))), 0)::BIGINT AS a FROM x),
+c AS (SELECT DISTINCT s FROM p WHERE kind = 3 AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT ({allowed})),
+w AS (SELECT s, unnest(range(1, length(s) - {WINDOW - 2})) AS b FROM c),
+e AS (SELECT s, min(list_sum(list_transform(map_values(list_aggregate(string_split(substr(s, b, {WINDOW}), ''), 'histogram')), lambda n: {table}[(n + 1)::INT]))) AS low FROM w GROUP BY s),
+high AS (SELECT s FROM e WHERE low <= {limit}),
+base AS (SELECT doc_id, row, kind, a, a + length(s) AS z FROM p WHERE kind = 0 AND length(regexp_extract(s, '{text(ASSIGN)}', 2)) >= 12 OR kind IN (1, 2)),
+more AS (SELECT doc_id, row, kind, a, a + length(s) AS z FROM p JOIN high USING (s) WHERE kind = 3),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM more WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.row = more.row AND base.a <= more.a AND base.z >= more.z)),
+n AS (SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_entropy,
+  string_agg(['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || a || ':' || z, ',' ORDER BY a, kind) FILTER (kind < 3) AS base_text,
+  string_agg(['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || a || ':' || z, ',' ORDER BY a, kind) AS every FROM spans GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_text, '')) AS base_sha256, coalesce(every, '') AS spans,
+  coalesce(n_entropy, 0) AS n_entropy FROM d LEFT JOIN n USING (row)
+"""
+
+
+SECRETS = _secrets()
+
+
+def _overlaps() -> str:
+    """The same masks over the tokens themselves; hits are compared on their diagonal."""
+    apart = "regexp_replace(text, '([\\x{0E00}-\\x{0EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFF}])', ' \\1 ', 'g')"
+    tokens = f"list_filter(regexp_split_to_array(lower({apart}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    long_masks = " UNION ALL ".join(f"SELECT 0 AS n, {list(m)} AS o" for m in MASKS)
+    window = f"list_max(list_transform(range(1, {SPAN + 1}), lambda k: list_sum(same[k:k + {SPAN - 1}])))"
+    return f"""
+WITH i AS (SELECT item_id, {tokens} AS g FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+items AS MATERIALIZED (SELECT row_number() OVER () AS item, item_id, g, len(g) AS n FROM i WHERE len(g) > 0),
+short AS (SELECT DISTINCT n FROM items WHERE n < {SPAN}),
+masks AS MATERIALIZED (SELECT row_number() OVER () AS mask, n, o FROM ({long_masks} UNION ALL SELECT n, range(0, n, 2) FROM short WHERE n >= {ONE_MISS}
+  UNION ALL SELECT n, range(1, n, 2) FROM short WHERE n >= {ONE_MISS} UNION ALL SELECT n, range(0, n) FROM short WHERE n < {ONE_MISS})),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {tokens} AS h FROM documents WHERE text IS NOT NULL),
+ipos AS (SELECT item, item_id, g, n, unnest(range(0, len(g))) AS q FROM items),
+iseeds AS (SELECT item, q, mask, list_transform(o, lambda x: g[q + x + 1]) AS seed FROM ipos JOIN masks ON CASE WHEN masks.n = 0 THEN ipos.n >= {SPAN} ELSE ipos.n = masks.n AND q = 0 END WHERE q + o[-1] < len(g)),
+dpos AS (SELECT row, h, unnest(range(0, len(h))) AS p FROM docs),
+dseeds AS (SELECT row, p, mask, list_transform(o, lambda x: h[p + x + 1]) AS seed FROM dpos, masks WHERE p + o[-1] < len(h)),
+hits AS (SELECT row, p, item, q FROM dseeds JOIN iseeds USING (mask, seed)),
+near AS (SELECT doc_id, item_id, n, list_transform(range({1 - SPAN}, {SPAN}), lambda j: CASE WHEN p + j >= 0 AND q + j >= 0 THEN coalesce((h[p + j + 1] = g[q + j + 1])::INT, 0) ELSE 0 END) AS same
+  FROM hits JOIN docs USING (row) JOIN items USING (item)),
+found AS (SELECT doc_id, item_id, n, CASE WHEN n >= {SPAN} THEN {window} ELSE list_sum(same) END AS matched FROM near)
+SELECT doc_id, item_id, max(matched)::INT AS matched, count(*) AS n_hits FROM found
+WHERE matched >= CASE WHEN n >= {SPAN} THEN {SPAN - MISSES} WHEN n >= {ONE_MISS} THEN n - 1 ELSE n END GROUP BY doc_id, item_id
+"""
+
+
+OVERLAPS = _overlaps()

@@ -90,11 +90,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The other queries' results depend on hashes, models or folds that SQL lacks; tests/llm holds them
-    against plain Python."""
+    """The other queries' results depend on a ring's hashes, a tokenizer, or sampled profiles that SQL lacks;
+    tests/llm holds them against plain Python."""
     return {
         "op1_quality_rules": oracles.QUALITY,
+        "op2_secret_scan": oracles.SECRETS,
         "op5_line_dedup": oracles.LINE_DEDUP,
+        "op7_decontamination": oracles.OVERLAPS,
         "op9_ngram_jaccard": oracles.JACCARD,
         "op10_warc": oracles.WARC,
     }
