@@ -231,35 +231,32 @@ def fill_within_paper(
     Texts in `unknown` count as blank in basic fields.
     Templates use the values from before. The organism/strain step of the same rule fills nothing,
     as its key is what it fills."""
-    rank = [
-        F.desc(F.coalesce("confidence_score", F.lit(0))),
-        F.desc(F.coalesce(F.col("block_id").contains("table_block_4"), F.lit(False))),
-        F.desc(F.coalesce(F.col("block_id").contains("text_block"), F.lit(False))),
-        "rec_idx",
-    ]
-    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
-    enzyme = Window.partitionBy("paper_name", "enzyme_name").orderBy(*rank).rowsBetween(*whole)
+    score = -F.coalesce("confidence_score", F.lit(0))
+    held = lambda part: -F.coalesce(F.col("block_id").contains(part), F.lit(False)).cast("int")
     variant = F.concat(
         F.coalesce("organism", F.lit("None")), F.lit("|"),
         F.when(F.coalesce("is_wild_type", F.lit(False)), "wild_type").otherwise(F.coalesce("mutations", F.lit(""))),
     )
-    same = (
-        Window.partitionBy("paper_name", "enzyme_name", "__variant")
-        .orderBy(F.desc(F.coalesce("confidence_score", F.lit(0))), "rec_idx")
-        .rowsBetween(*whole)
-    )
-    named = filled(F.col("enzyme_name"))
     rows = records.withColumn("__variant", variant)
-    new = {}
-    for fields, window in ((basic, enzyme), (conditions, same)):
+    out, new = rows, {}
+    for n, (fields, keys, order) in enumerate(
+        (
+            (basic, ("paper_name", "enzyme_name"), F.struct(score.alias("s"), held("table_block_4").alias("t"), held("text_block").alias("x"), "rec_idx")),
+            (conditions, ("paper_name", "enzyme_name", "__variant"), F.struct(score.alias("s"), "rec_idx")),
+        )
+    ):
+        best = []
         for f in fields:
-            kind = RECORD_DDL[f]
-            missing = blank(F.col(f), kind)
-            if unknown and fields is basic and kind == "string":
+            missing = blank(F.col(f), RECORD_DDL[f])
+            if unknown and fields is basic and RECORD_DDL[f] == "string":
                 missing = missing | F.col(f).isin(*unknown)
-            best = F.first(F.when(~missing, F.col(f)), ignorenulls=True).over(window)
-            new[f] = F.when(named & missing, F.coalesce(best, F.col(f))).otherwise(F.col(f))
-    return rows.withColumns(new).drop("__variant")
+            best.append(F.min_by(F.col(f), F.when(~missing, order)).alias(f"__{f}"))
+            new[f] = F.when(missing, F.coalesce(f"__{f}", f)).otherwise(F.col(f))
+        if best:
+            # An aggregate is summed up before its shuffle, and the join can be split at a frequent name.
+            found = rows.where(filled(F.col("enzyme_name"))).groupBy(*[F.col(k).alias(f"__k{n}_{k}") for k in keys]).agg(*best)
+            out = out.join(found, [F.col(k) == F.col(f"__k{n}_{k}") for k in keys], "left")
+    return out.withColumns(new).select(*records.columns)
 
 
 def fill_conditions(records: DataFrame, conditions: DataFrame, path_order: str = "cond_idx") -> DataFrame:
