@@ -30,7 +30,6 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import keyed, rows_of, ship
 from .spm import Pieces, encode, tables_for

@@ -11,7 +11,6 @@ input columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
