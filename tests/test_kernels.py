@@ -6,7 +6,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assayflow import vocab
 from assayflow.functions import text as X
 from assayflow.functions import values as V
 from assayflow.operators import blocks, enrichment, evaluation, filters, merging, records, reports
