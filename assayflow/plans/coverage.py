@@ -712,3 +712,21 @@ def final_records(spark, sf):
     """The whole chain."""
     rules = ChainRules(toxins=SUBSTRATES, others=OTHER_SUBSTRATES, known=SUBSTRATES)
     return post_process(records(spark, sf), rules).select("paper_name", *_SHOWN)
+
+
+# ---------------------------------------------------------------- tables
+
+
+@query(
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '| Enzyme | Km |' || chr(10) || '|---|---|' || chr(10) || '| e' || page_id || ' | 1.5 |' || chr(10) || '| e' || page_id || ' | 2 & 3 |'
+      WHEN 1 THEN '| a | a | b |' || chr(10) || '|---|---|---|' || chr(10) || '| ' || page_id || ' |  |  |' WHEN 2 THEN '[unparsed] no table' END AS markdown,
+    CASE page_id % 4 WHEN 0 THEN 'Enzyme,Km;e' || page_id || ',1.5;e' || page_id || ',2 & 3' WHEN 1 THEN 'a,a,b;' || page_id ELSE '' END AS cells, page_id % 4 = 0 AS readable FROM pages"""
+)
+def page_grids(spark, sf):
+    """Spanning cells, missing cells, no table, and no text."""
+    i, k = F.col("page_id").cast("string"), F.col("page_id") % 4
+    spanning = F.concat(F.lit("<table><tr><th> Enzyme</th><th>Km</th></tr><tr><td rowspan='2'>e"), i, F.lit("</td><td>1.5</td></tr><tr><td>2 &amp;\n3</td></tr></table><table><tr><td>x</td></tr></table>"))
+    missing = F.concat(F.lit("<tr><th colspan=2>a</th><th>b</th></tr><tr><td>"), i, F.lit("</td></tr>"))
+    body = F.when(k == 0, spanning).when(k == 1, missing).when(k == 2, "no table")
+    cells = F.array_join(F.transform(grids.grid_rows(body), lambda r: F.array_join(r, ",")), ";")
+    return table(spark, sf, "pages").select("page_id", grids.grid_markdown(body).alias("markdown"), cells.alias("cells"), grids.grid_ok(body).alias("readable"))
