@@ -17,22 +17,34 @@ def _one_of(words: list[str]) -> Callable[[Column], Column]:
     return lambda x: x.isin(*words)
 
 
-def keyword_hits(text: Column, keywords, words: bool = True) -> Column:
-    """Sum of each keyword's matches, ignoring case; overlapping keywords count each on their own. A
-    keyword is a pattern; with words it must stand between word boundaries. Keywords that are a single
-    plain word are looked up among the text's words, all in one pass; only the others take a pass each."""
-    plain = [k.lower() for k in keywords if words and re.fullmatch(r"\w+", k)]
+def lowered(text: Column) -> Column:
+    """Lower case, with one letter for mu and the micro sign."""
+    return F.translate(F.lower(text), "µ", "μ")
+
+
+def keyword_hits(low: Column, keywords, words: bool = True) -> Column:
+    """Sum of each keyword's matches in a text (lowered), ignoring case; overlapping keywords count each on
+    their own. A keyword is a pattern; with words it must stand between word boundaries. Single plain
+    words are looked up among the text's words, all in one pass; other plain texts are counted by what
+    their removal takes away, or searched for only where the text holds them; patterns take a pass each."""
+    small = [k.lower().replace("µ", "μ") for k in keywords]
+    plain = [k for k in small if words and re.fullmatch(r"\w+", k)]
     total = F.lit(0)
     if plain:
         tally = {w: plain.count(w) for w in plain}
-        tokens = F.split(F.lower(text), r"(?U)\W+")
+        tokens = F.split(low, r"(?U)\W+")
         for times in sorted(set(tally.values())):
             some = [w for w, n in tally.items() if n == times]
             total = total + times * F.size(F.filter(tokens, _one_of(some)))
-    for k in keywords:
-        if k.lower() not in plain:
-            total = total + F.regexp_count(text, F.lit(f"(?iU)\\b{k}\\b" if words else f"(?iU){k}"))
-    return F.when(text.isNotNull(), total)
+    for k in small:
+        if k in plain:
+            continue
+        count = F.regexp_count(low, F.lit(f"(?iU)\\b{k}\\b" if words else f"(?iU){k}"))
+        if not set(k) & set("\\.^$*+?{}[]|()"):
+            gone = F.floor((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k)).cast("int")
+            count = F.when(low.contains(k), count).otherwise(0) if words else gone
+        total = total + count
+    return F.when(low.isNotNull(), total)
 
 
 def precheck(
@@ -41,14 +53,14 @@ def precheck(
 ) -> DataFrame:
     """Adds toxin_hits, kinetics_hits, unit_hits, skip and reason (O-F1, O-S3). The feature reads the
     first `chars` characters. A paper without text is not skipped."""
-    head = F.substring(text_col, 1, chars)
-    out = papers.withColumns(
+    low = F.col("__low")
+    out = papers.withColumn("__low", lowered(F.substring(text_col, 1, chars))).withColumns(
         {
-            "toxin_hits": keyword_hits(head, toxins),
-            "kinetics_hits": keyword_hits(head, kinetics),
-            "unit_hits": keyword_hits(head, units, words=False),
+            "toxin_hits": keyword_hits(low, toxins),
+            "kinetics_hits": keyword_hits(low, kinetics),
+            "unit_hits": keyword_hits(low, units, words=False),
         }
-    )
+    ).drop("__low")
     few_toxins, few_kinetics = F.col("toxin_hits") < min_toxins, F.col("kinetics_hits") < min_kinetics
     reason = (
         F.when(F.col(text_col).isNull(), "no_text")
